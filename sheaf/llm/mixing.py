@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.common import stored
+from sheaf.llm.common import stored, workers
 
 SPACE = r"[\x20\x09-\x0D]+"
 CHUNK = 4096
@@ -94,7 +94,8 @@ def draw_slots(plan: DataFrame, *, shard_slots: int, seed: int) -> DataFrame:
     Slot numbers are generated in chunks, dealt over the cluster before they are expanded.
     """
     chunks = plan.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK}"))))
-    spread = chunks.repartition("source", "chunk")
+    # a stated count: the rows are few before they are expanded, and would be coalesced into one task
+    spread = chunks.repartition(workers(plan.sparkSession), "source", "chunk")
     low = F.col("chunk") * CHUNK
     slots = spread.withColumn("i", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("slots")) - 1)))
     slots = slots.withColumns({"block": F.expr("i % n_blocks"), "pass": F.expr("i div n_blocks"), "place": F.col("first_slot") + F.col("i")})
@@ -133,7 +134,8 @@ def mix(
     sized = stored(sized, "mix-sizes")
     plan = stored(source_plan(sized, weights=weights, factor=factor, cap=cap, block_words=block_words), "mix-plan")
     slots = draw_slots(plan, shard_slots=shard_slots, seed=seed)
-    uses = slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
+    # written before it is joined: its size can't be estimated from the few rows it is made of
+    uses = stored(slots.groupBy("source", "block").agg(F.count("*").alias("uses")), "mix-uses")
     placed = stored(stream_offsets(sized), "mix-offsets")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
     low = F.greatest(F.col("start"), F.col("block") * block_words)

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import mixing, sharding, url_filter
+from sheaf.llm import gif, language, mixing, quality, sharding, toxicity, url_filter
 from sheaf.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.QUERY_RULES)
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_media(gif.store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return sharding.shard(docs, leaves=16).select(
@@ -27,8 +40,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_url_filter, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op3_language_id, op4_quality, op6_url_filter, op7_gif_media, op8_sharding, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
