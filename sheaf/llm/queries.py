@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, gif, language, mixing, quality, sharding, toxicity, url_filter
+from sheaf.llm import decontaminate, gif, language, mixing, neardup, quality, sharding, toxicity, url_filter
 from sheaf.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.QUERY_RULES)
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_quality, op6_url_filter, op7_gif_media, op8_sharding, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_quality, op5_near_duplicates, op6_url_filter, op7_gif_media, op8_sharding, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
