@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,17 +36,22 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage: later stages depend on replicated files, not on shuffle output of
-    executors that may be lost.  The table goes when the driver's JVM ends.
+    executors that may be lost.  The table goes when the driver's JVM ends.  With ``free``, Spark is
+    asked to drop the shuffle files that nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     _delete_at_exit(spark, path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

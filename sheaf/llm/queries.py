@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, gif, language, mixing, neardup, quality, sharding, toxicity, url_filter
+from sheaf.llm import decontaminate, gif, language, mixing, neardup, quality, repeats, sharding, toxicity, url_filter
 from sheaf.llm.common import table
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_quality, op5_near_duplicates, op6_url_filter, op7_gif_media, op8_sharding, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_repeat_removal, op2_decontamination, op3_language_id, op4_quality, op5_near_duplicates, op6_url_filter, op7_gif_media, op8_sharding, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
