@@ -316,3 +316,9 @@ def _or_empty(found):
         yield items
     if not some:
         yield []
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that do not hold benchmark passages in a twentieth of their words."""
+    gone = stored(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "leaks", free=True)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -121,6 +121,25 @@ def stream_offsets(sized: DataFrame, *, bucket_rows: int = 50_000) -> DataFrame:
     return df.join(sums, same, "left").select(df["uid"], df["doc_id"], df["source"], df["size"], (F.col("inner") + F.col("b_start")).alias("start"))
 
 
+def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
+    """The parts of documents in blocks: first word within the document, and number of words."""
+    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
+    low = F.greatest(F.col("start"), F.col("block") * block_words)
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
+    return pieces.withColumns({"words": high - low, "word": low - F.col("start")})
+
+
+def _drawn(docs: DataFrame, weights, factor: float, cap: float, block_words: int, shard_slots: int, seed: int):
+    """(documents placed in their streams, source plan, slots, uses of each block)."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("uid"))
+    sized = stored(sized, "mix-sizes")
+    plan = stored(source_plan(sized, weights=weights, factor=factor, cap=cap, block_words=block_words), "mix-plan")
+    slots = draw_slots(plan, shard_slots=shard_slots, seed=seed)
+    # written before it is joined: its size can't be estimated from the few rows it is made of
+    uses = stored(slots.groupBy("source", "block").agg(F.count("*").alias("uses")), "mix-uses")
+    return stored(stream_offsets(sized), "mix-offsets"), plan, slots, uses
+
+
 def mix(
     docs: DataFrame, *, weights=(3, 1, 2), factor: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_slots: int = 65_536, seed: int = 11,
 ) -> tuple[DataFrame, DataFrame]:
@@ -130,17 +149,8 @@ def mix(
     takes of the document, repeats counted); the second is the mix itself as block references.
     ``docs`` needs doc_id, text and source.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("uid"))
-    sized = stored(sized, "mix-sizes")
-    plan = stored(source_plan(sized, weights=weights, factor=factor, cap=cap, block_words=block_words), "mix-plan")
-    slots = draw_slots(plan, shard_slots=shard_slots, seed=seed)
-    # written before it is joined: its size can't be estimated from the few rows it is made of
-    uses = stored(slots.groupBy("source", "block").agg(F.count("*").alias("uses")), "mix-uses")
-    placed = stored(stream_offsets(sized), "mix-offsets")
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
-    low = F.greatest(F.col("start"), F.col("block") * block_words)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = pieces.withColumn("words", high - low)
+    placed, plan, slots, uses = _drawn(docs, weights, factor, cap, block_words, shard_slots, seed)
+    pieces = _pieces(placed, block_words)
     same = pieces["source"].eqNullSafe(uses["source"]) & (pieces["block"] == uses["block"])
     taken = pieces.join(uses, same).groupBy(pieces["source"].alias("k_source"), F.col("start").alias("k_start")).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # (source, start) is unique among documents that have words
@@ -149,3 +159,31 @@ def mix(
     out = placed.join(taken, on, "left").join(totals, placed["source"].eqNullSafe(F.col("p_source")), "left")
     out = out.select(placed["uid"], placed["doc_id"], placed["source"], placed["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, slots
+
+
+def mixed_documents(
+    docs: DataFrame, *, weights=(3, 1, 2), factor: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_slots: int = 65_536, seed: int = 11,
+) -> DataFrame:
+    """The mixed corpus in the columns of ``docs``: what each pass takes of a document is a row.
+
+    A pass that takes all blocks of a document gives its text unchanged; one that takes some gives
+    their words, in order, a space between them.  ``n_chars``, if there, follows the text.
+    ``docs`` should have each (doc_id, text) once.
+    """
+    placed, _, _, uses = _drawn(docs, weights, factor, cap, block_words, shard_slots, seed)
+    pieces = _pieces(placed, block_words)
+    same = pieces["source"].eqNullSafe(uses["source"]) & (pieces["block"] == uses["block"])
+    used = pieces.join(uses, same).select("doc_id", "uid", "size", "word", "words", "uses")
+    taken = used.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "pass").agg(
+        F.max("size").alias("_size"), F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts")
+    )
+    rows = docs.withColumn("_uid", F.xxhash64("text"))
+    rows = rows.join(stored(taken, "mix-taken", free=True), rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_uid") == F.col("_u")))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["word"].cast("int") + 1, p["words"].cast("int")))), " ")
+    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some)
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -273,3 +273,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     final = final.join(more.select(F.col("id").alias("comp"), F.col("component").alias("c2")), "comp", "left")
     out = F.coalesce("c2", "comp")
     return final.select("doc_id", "n_shingles", out.alias("component_id"), (F.col("doc_id") == out).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the smallest id stays.
+
+    Rows without an id cannot be told apart and stay; of rows that share an id one stays.
+    """
+    gone = stored(near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone", free=True)
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"])) if again else left

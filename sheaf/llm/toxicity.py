@@ -23,6 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm.calibrate import apply_bins, fit_bins
 from sheaf.llm.common import id_fold, stored
@@ -35,7 +36,8 @@ SECOND = frozenset("you your yours yourself u du dich dir dein deine ihr euch tu
 FEATURES = (
     "top", "total", "hits", "density", "distinct", "near_you", "you", "capitals", "shout", "punct", "bangs", "obfuscated", "mixed", "log_words",
 )
-SCHEMA = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
+#: Their names beside the columns of a document, which may be called anything.
+COLUMNS = tuple(f"__tox_{f}" for f in FEATURES)
 
 
 def keys(words) -> set[str]:
@@ -121,41 +123,70 @@ def _featurise(lexicon: dict[str, float]):
         for batch in batches:
             rows = [features(t, lexicon, known) for t in batch.column("text").to_pylist()]
             cols = np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(cols[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cols[:, i]) for i in range(len(FEATURES))]], [*batch.schema.names, *COLUMNS])
 
     return run
 
 
+def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """All columns of ``docs`` and the dense features of its text."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in COLUMNS]])
+    return docs.mapInArrow(_featurise(lexicon), schema)
+
+
 def labelled_text(docs: DataFrame, labels: DataFrame, label: str, use, rows: int, seed: int = 3) -> DataFrame:
     """(doc_id, text, y) of about ``rows`` labelled documents where ``use`` holds."""
     known = labels.where(F.col(label).isin(0, 1) & use).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     total = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, total))) + 1)
-    return stored(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, train_rows: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 5) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted and the dense features.
-
-    Lexicon, trees and calibration are fitted on about ``train_rows`` labelled documents whose
-    fold is not 1; the trees on three quarters of them, the calibration on the rest.
-    """
-    train = labelled_text(docs, labels, "toxic", id_fold(3) != 1, train_rows)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))
-    n = train.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
-    pos, total = n["p"] or 0, n["n"]
-    lexicon = learn_lexicon(train.where(part != 0))
-    dense = docs.select("doc_id", "text").mapInArrow(_featurise(lexicon), SCHEMA)
-    if 0 < pos < total:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        seen = stored(train.select("doc_id", "text").mapInArrow(_featurise(lexicon), SCHEMA).join(train.select("doc_id", "y"), "doc_id"), "toxic-train")
-        fit_on = seen.where(part != 0)
-        model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(vectors.transform(fit_on))
-        raw = vector_to_array("probability")[1]
-        levels = fit_bins(model.transform(vectors.transform(seen.where(part == 0))).withColumn("raw", raw), "raw", "y")
-        scored = model.transform(vectors.transform(dense)).withColumn("score", apply_bins(raw, levels))
-    else:
-        scored = dense.withColumn("score", F.lit(pos / total if total else 0.0))
-    return scored.select(
-        "doc_id", (id_fold(3) == 1).alias("held_out"), F.round("score", 9).alias("score"), (F.round("score", 9) >= threshold).cast("int").alias("predicted"), *FEATURES
-    )
+    # the sample is bounded by ``rows``, so it is sent to the documents rather than they to it
+    return stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")
+
+
+class Model:
+    """Lexicon, trees and calibration; ``fit`` learns them."""
+
+    def __init__(self, lexicon, trees, levels, share):
+        self.lexicon, self.trees, self.levels, self.share = lexicon, trees, levels, share
+
+    @classmethod
+    def fit(cls, docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 5) -> Model:
+        """Fitted on about ``train_rows`` labelled documents whose fold is not 1: the lexicon and
+        trees on three quarters of them, the calibration on the rest."""
+        train = labelled_text(docs, labels, "toxic", id_fold(3) != 1, train_rows)
+        part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))
+        n = train.agg(F.count("*").alias("n"), F.sum(F.when(part != 0, F.col("y"))).alias("p"), F.sum(F.when(part != 0, 1)).alias("m")).first()
+        pos, total = n["p"] or 0, n["m"] or 0
+        lexicon = learn_lexicon(train.where(part != 0))
+        if not 0 < pos < total:
+            return cls(lexicon, None, None, pos / total if total else 0.0)
+        seen = stored(with_features(train, lexicon), "toxic-train")
+        vectors = VectorAssembler(inputCols=list(COLUMNS), outputCol="features")
+        fitted = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(vectors.transform(seen.where(part != 0)).select("y", "features"))
+        model = cls(lexicon, fitted, None, 0.0)
+        model.levels = fit_bins(model._raw(seen.where(part == 0)), "__tox_raw", "y")
+        return model
+
+    def _raw(self, dense: DataFrame) -> DataFrame:
+        vectors = VectorAssembler(inputCols=list(COLUMNS), outputCol="__tox_features")
+        trees = self.trees.setFeaturesCol("__tox_features").setRawPredictionCol("__tox_margin").setProbabilityCol("__tox_chance").setPredictionCol("__tox_class")
+        return trees.transform(vectors.transform(dense)).withColumn("__tox_raw", vector_to_array("__tox_chance")[1])
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        """All columns of ``docs``, the dense features and ``__tox_score``."""
+        dense = with_features(docs, self.lexicon)
+        if self.trees is None:
+            return dense.withColumn("__tox_score", F.lit(self.share))
+        return self._raw(dense).withColumn("__tox_score", F.round(apply_bins(F.col("__tox_raw"), self.levels), 9))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **fit) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted and the dense features."""
+    scored = Model.fit(docs, labels, **fit).transform(docs.select("doc_id", "text"))
+    dense = [F.col(c).alias(f) for c, f in zip(COLUMNS, FEATURES)]
+    return scored.select("doc_id", (id_fold(3) == 1).alias("held_out"), F.col("__tox_score").alias("score"), (F.col("__tox_score") >= threshold).cast("int").alias("predicted"), *dense)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **fit) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, unchanged; nothing is shuffled."""
+    return Model.fit(docs, labels, **fit).transform(docs).where(F.col("__tox_score") < threshold).select(*docs.columns)
