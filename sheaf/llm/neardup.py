@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     stars = keyed.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top").select("key", "u")
     edges = stored(keyed.join(stars, "key").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), "near-edges")
     wanted = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.first("text").alias("text"))
+    # the ids grow with the corpus, so they are merged with it at every size, never broadcast
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = stored(texts, "near-texts")
     links = stored(confirm_stars(edges, texts, percent), "near-links")
     first = stored(components(links), "near-first")
@@ -281,6 +282,6 @@ def deduplicate(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     Rows without an id cannot be told apart and stay; of rows that share an id one stays.
     """
     gone = stored(near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone", free=True)
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"])) if again else left
