@@ -174,8 +174,8 @@ def mixed_documents(
     pieces = _pieces(placed, block_words)
     same = pieces["source"].eqNullSafe(uses["source"]) & (pieces["block"] == uses["block"])
     used = pieces.join(uses, same).select("doc_id", "uid", "size", "word", "words", "uses")
-    taken = used.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
-    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "pass").agg(
+    taken = used.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "_pass").agg(
         F.max("size").alias("_size"), F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts")
     )
     rows = docs.withColumn("_uid", F.xxhash64("text"))

@@ -139,17 +139,20 @@ def slots(df: DataFrame, order: list[str], chunks: int = 64) -> DataFrame:
 def shard(docs: DataFrame, *, leaves: int | None = 16, target_bytes: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, lang, source, size, text_crc32, shard and slot.
 
-    ``docs`` needs doc_id, text, lang and source; ``keep`` names columns to carry along.  Give
+    ``docs`` needs doc_id, text, lang and source; ``keep`` names columns to carry along (one
+    that is named like a result becomes doc_<name>).  Give
     ``leaves``, or ``target_bytes`` and let the tree grow until a leaf reaches it.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
         "doc_id", "lang", "source", doc_size(F.col("text")).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), *keep,
+        F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), F.struct(F.lit(0).alias("_"), *keep).alias("_kept"),
     )
     sized = stored(sized, "shard-sizes")
     if leaves is None:
         leaves = leaves_for(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"], target_bytes)
     tree = kd_assign(stored(_points(sized), "shard-points"), leaves).select(F.col("h").alias("g"), F.col("h2").alias("g2"), "shard")
     placed = sized.join(tree, (F.col("h") == F.col("g")) & (F.col("h2") == F.col("g2"))).drop("g", "g2")
-    return slots(placed, ["doc_id", "text_crc32", "source", "lang"]).drop("h", "h2")
+    out = slots(placed, ["doc_id", "text_crc32", "source", "lang"]).drop("h", "h2")
+    own = [c for c in out.columns if c != "_kept"]
+    return out.select(*own, *[F.col(f"_kept.`{c}`").alias(f"doc_{c}" if c in own else c) for c in keep])
