@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, gif, language, mixing, neardup, quality, repeats, sharding, toxicity, url_filter
+from sheaf.llm import decontaminate, gif, language, mixing, neardup, oracles, quality, repeats, sharding, toxicity, url_filter
 from sheaf.llm.common import table
 
 
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_repeat_removal": oracles.REPEATS, "op2_decontamination": oracles.LEAKS, "op5_near_duplicates": oracles.NEAR}
