@@ -99,3 +99,19 @@ def throttled_log(issues: DataFrame, order: list[str], first: int = 20, every: i
 
     numbered = issues.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy(*order)))
     return numbered.where((F.col("n") <= first) | (F.col("n") % every == 0))
+
+
+def observed(operations: DataFrame, name: str = "progress") -> tuple[DataFrame, object]:
+    """``operations`` with live counters that a run fills: (DataFrame, Observation)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    return operations.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *counts), seen
+
+
+def markdown_table(df: DataFrame, order: list[str]) -> str:
+    """A small aggregate as a Markdown table."""
+    rows = [[("" if v is None else f"{v:g}" if isinstance(v, float) else str(v)) for v in r] for r in df.orderBy(*order).toLocalIterator()]
+    lines = [df.columns, ["---"] * len(df.columns), *rows]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)

@@ -83,3 +83,32 @@ def bench_cases(spark: SparkSession, fixtures: list[str], runs: list[str], memor
     """All benchmark cases: fixtures x runs x memories x samples (small configuration lists)."""
     one = lambda name, values: spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
     return one("fixture", fixtures).crossJoin(one("run", runs)).crossJoin(one("memory_mb", memories)).crossJoin(one("sample", list(range(samples))))
+
+
+MANIFEST = """version int, seed long, files long, total_size long,
+  classes map<string, struct<files: bigint, bytes: bigint>>, profiles map<string, struct<files: bigint, bytes: bigint>>,
+  entries array<struct<path: string, kind: string, profile: string, size: bigint, sha256: string, changed: boolean, original_sha256: string>>"""
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A fixture's JSON manifest (plain or mutated) as one row."""
+    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+
+
+def manifest_entries(manifest: DataFrame) -> DataFrame:
+    """Its entries in order: pos, path, kind, profile, size, sha256, changed and original_sha256."""
+    return manifest.select(F.posexplode("entries").alias("pos", "e")).select("pos", "e.*")
+
+
+def manifest_row(entries: DataFrame, seed: int, version: int = 1) -> DataFrame:
+    """One row to write as JSON: totals, statistics by class and profile, and the entries by path."""
+    stats = lambda by: class_stats(entries, by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, F.struct("files", "bytes")))))).toDF("classes" if by == "kind" else "profiles")
+    kept = [c for c in ("path", "kind", "profile", "size", "sha256", "changed", "original_sha256") if c in entries.columns]
+    one = entries.agg(F.count("*").alias("files"), F.sum("size").alias("total_size"), F.array_sort(F.collect_list(F.struct(*kept))).alias("entries"))
+    return one.crossJoin(stats("kind")).crossJoin(stats("profile")).select(F.lit(version).alias("version"), F.lit(seed).alias("seed"), "files", "total_size", "classes", "profiles", "entries")
+
+
+def compare_by_position(base: DataFrame, mutated: DataFrame) -> DataFrame:
+    """Entries of two manifests side by side, by position: which changed."""
+    b = base.select("pos", F.col("path").alias("base_path"), F.col("sha256").alias("base_sha256"))
+    return mutated.join(b, "pos", "full_outer").withColumn("differs", ~F.col("sha256").eqNullSafe(F.col("base_sha256")))

@@ -129,3 +129,25 @@ def test_economics(spark):
     cost = {r["storage_class"]: r["usd_month"] for r in economics.storage_costs(corpus).collect()}
     assert round(cost["zip_standard"], 2) == 0.63 and round(cost["standard_ia"], 2) == 20.14 and round(cost["glacier_instant"], 2) == 7.74
     assert float(Fraction(128, 8)) == 16.0
+
+
+def test_fixture_manifests(spark, tmp_path):
+    base = fixtures.generate(spark, 12, 600).withColumn("sha256", F.sha2("path", 256)).drop("i")
+    row = fixtures.manifest_row(base, 1)
+    (tmp_path / "m.json").write_text(row.select(F.to_json(F.struct(*row.columns))).first()[0])
+    back = fixtures.read_manifest(spark, str(tmp_path / "m.json"))
+    one = back.first()
+    assert (one["files"], one["total_size"]) == (12, 600) and sum(c["bytes"] for c in one["classes"].values()) == 600
+    entries = fixtures.manifest_entries(back)
+    changed = fixtures.mutate(entries.drop("changed"), 0.25, 5).withColumn("sha256", F.when(F.col("changed"), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    assert fixtures.compare_by_position(entries, changed).where("differs").count() == 3
+    stats = fixtures.mutation_stats(changed).first()
+    assert (stats["changed_files"], stats["unchanged_files"]) == (3, 9)
+
+
+def test_progress_and_tables(spark):
+    ops = spark.createDataFrame([("uploaded_new", 3), ("error", None)], "status string, size long")
+    df, seen = diagnostics.observed(ops)
+    df.collect()
+    assert seen.get["rows"] == 2 and seen.get["uploaded_new"] == 1 and seen.get["bytes"] == 3
+    assert diagnostics.markdown_table(ops, ["status"]).splitlines()[2:] == ["| error |  |", "| uploaded_new | 3 |"]
