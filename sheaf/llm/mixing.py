@@ -181,7 +181,9 @@ def mixed_documents(
     rows = docs.withColumn("_uid", F.xxhash64("text"))
     rows = rows.join(stored(taken, "mix-taken", free=True), rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_uid") == F.col("_u")))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["word"].cast("int") + 1, p["words"].cast("int")))), " ")
+    # the words are bound once by a one-element array; named in the inner function, they would be split again for each part
+    cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["word"].cast("int") + 1, p["words"].cast("int"))))
+    some = F.array_join(F.element_at(F.transform(F.array(words), cut), 1), " ")
     text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some)
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
