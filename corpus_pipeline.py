@@ -9,32 +9,56 @@ no ORACLE_SQL; tests compare each stage with a brute-force version.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import decontaminate, mixing, neardup, sharding, toxicity
-from sheaf.llm.common import stored, table
+from sheaf.llm.common import drop_tables, recorded, stored, table
+
+#: Intermediate tables of the stage that was called last.
+_left: list[str] = []
+
+
+def staged(stage):
+    """A stage begins when the output of the one before is written, so the intermediate tables of
+    that one are deleted first; its own are noted for the next."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left)
+        with recorded(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 
+@staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that score 0.7 or more."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+@staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies."""
     return neardup.deduplicate(docs)
 
 
+@staged
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents with benchmark passages in a twentieth of their words."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take blocks of the sources to their target weights."""
     return mixing.mixed_documents(docs)
 
 
+@staged
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deal the mixed corpus to 16 shards of near equal bytes."""
     return sharding.shard(docs, leaves=16, keep=tuple(c for c in docs.columns if c not in ("doc_id", "lang", "source")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,27 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
 
 
+_now = threading.local()
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Note the tables that ``stored`` writes meanwhile (in this thread)."""
+    before, _now.paths = getattr(_now, "paths", None), paths
+    try:
+        yield paths
+    finally:
+        _now.paths = before
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete noted tables whose readers are done."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
@@ -47,6 +70,8 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if getattr(_now, "paths", None) is not None:
+        _now.paths.append(path)
     _delete_at_exit(spark, path)
     if free:
         del df
