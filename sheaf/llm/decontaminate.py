@@ -35,7 +35,7 @@ ASCII_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 WINDOW = 13
 #: Terms of one block of the benchmark; a block is what one task holds of it.
 BLOCK_WORDS = 2_000_000
-INDEX = "doc_id long, n_words long, terms binary, counts binary, positions binary"
+INDEX = "doc_id long, uid long, n_words long, terms binary, counts binary, positions binary"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -108,15 +108,15 @@ def _index(hashes: np.ndarray):
                 by_doc, by_post = np.searchsorted(doc[place[new]], np.arange(len(begin))), np.searchsorted(doc[place], np.arange(len(begin)))
                 cut = lambda a, b: pa.array([a[b[i] : b[i + 1]].tobytes() for i in range(len(b) - 1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(np.diff(first).astype(np.int64)), cut(heads, by_doc), cut(sizes, by_doc), cut(pos, by_post),
-                ], ["doc_id", "n_words", "terms", "counts", "positions"])
+                    *[batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "uid")], pa.array(np.diff(first).astype(np.int64)), cut(heads, by_doc), cut(sizes, by_doc), cut(pos, by_post),
+                ], ["doc_id", "uid", "n_words", "terms", "counts", "positions"])
 
     return run
 
 
 def build_index(docs: DataFrame, queries: Queries) -> DataFrame:
     """Store the postings of every document: its terms, how often each stands, and where."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_index(queries.term_hashes()), INDEX), "postings")
+    return stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(_index(queries.term_hashes()), INDEX), "postings")
 
 
 def _frequencies(batches):
@@ -202,7 +202,7 @@ def _bounded(sizes: np.ndarray, most: int = 4_000_000):
         yield low, len(sizes)
 
 
-HITS = "doc_id long, n_words long, spans binary, items array<long>"
+HITS = "doc_id long, uid long, n_words long, spans binary, items array<long>"
 
 
 def _match(queries: Queries, plan, n_terms: int):
@@ -223,7 +223,7 @@ def _match(queries: Queries, plan, n_terms: int):
                     part = slice(at[i], at[i + 1])
                     spans[i] = np.column_stack([start[part] - offset[i], start[part] - offset[i] + size[part]]).astype("<i8").tobytes()
                     hit[i] = sorted({x for k in set(w[part].tolist()) for x in items[k]})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(spans, pa.binary()), pa.array(hit, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "uid", "n_words")), pa.array(spans, pa.binary()), pa.array(hit, pa.list_(pa.int64()))], ["doc_id", "uid", "n_words", "spans", "items"])
 
     return run
 
@@ -305,7 +305,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = B
         every = hits[0]
         for h in hits[1:]:
             every = every.unionByName(h)
-        whole = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        whole = every.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.count("*").alias("rows"))
+        # each block has a row for every document, so repeated documents come back as often as they are
+        whole = whole.withColumn("copy", F.explode(F.expr(f"sequence(1, rows div {len(hits)})"))).select("doc_id", "n_words", "spans", "items")
     return whole.mapInArrow(_summary, SUMMARY)
 
 

@@ -61,5 +61,8 @@ def test_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, "ab ab")], "item_id long, text string")
     rows = d.decontaminate(odd, bench).collect()
     assert len(rows) == odd.count() and {r["doc_id"] for r in rows if r["contaminated"]} == {7}
+    two = spark.createDataFrame([(1, "ab ab"), (2, "river stone light under never always before small great house of the and")], "item_id long, text string")
+    one_block, blocks = (sorted(map(tuple, d.decontaminate(odd, two, block_words=n).collect()), key=lambda r: (r[0] is None, r)) for n in (1000, 1))
+    assert one_block == blocks and len(blocks) == odd.count()
     assert d.decontaminate(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in d.decontaminate(odd, bench.limit(0)).collect())
