@@ -37,6 +37,7 @@ from sheaf.llm.wordpos import groups_of, prefix_sums, range_hash
 WINDOW, GRAM, STEP = 200, 40, 25
 PIECE, MANY = 16, 2_000
 _AT = np.uint64(23)
+_PLACES = 1 << 22
 
 
 def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,19 +46,31 @@ def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"\0".join(raws) + bytes(WINDOW + 1), np.uint8), begin, size
 
 
+def _least_places(h: np.ndarray, span: int, places: int = _PLACES) -> np.ndarray:
+    """For each stretch of ``span`` hashes, where its least one stands (leftmost on ties).
+
+    Taken in overlapping pieces of ``places`` stretches, so that a place within a piece fits the
+    low bits at any length; all pieces order the hashes by the same high bits.
+    """
+    out = np.zeros(max(0, len(h) - span + 1), np.int64)
+    for low in range(0, len(out), places):
+        part, width = h[low : low + places + span - 1], 1
+        least = (part >> _AT << _AT) | np.arange(len(part), dtype=np.uint64)
+        while width * 2 <= span:
+            least, width = np.minimum(least[:-width], least[width:]), width * 2
+        if width < span:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        out[low : low + places] = (least & np.uint64((1 << int(_AT)) - 1)).astype(np.int64) + low
+    return out
+
+
 def runs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     """(document, gram hash, run digest, first window, windows, gram's place in the run)."""
     raw, begin, size = _joined(raws)
-    n, span = len(raw) - GRAM + 1, WINDOW - GRAM + 1
-    at = np.arange(n)
+    at = np.arange(len(raw) - GRAM + 1)
     sums = prefix_sums(raw)
     h = range_hash(sums, at, at + GRAM)
-    least, width = (h >> _AT << _AT) | at.astype(np.uint64), 1
-    while width * 2 <= span:
-        least, width = np.minimum(least[:-width], least[width:]), width * 2
-    if width < span:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    place = (least & np.uint64((1 << int(_AT)) - 1)).astype(np.int64)
+    place = _least_places(h, WINDOW - GRAM + 1)
     count = np.maximum(0, size - WINDOW + 1)
     doc = np.repeat(np.arange(len(raws)), count)
     window = begin[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)

@@ -81,6 +81,24 @@ def test_documents(spark, monkeypatch, many):
     assert [out[i] for i in range(len(texts))] == removal(texts)
 
 
+def test_passage_beyond_8_mib(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    shared, far = text(450), 8_388_608
+    texts = [text(far - 300) + shared + text(700) + shared[:230] + text(50), text(100) + shared + text(30)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    out = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in repeats.remove_repeats(df).collect()}
+    assert out == {0: [(far - 300, far + 150), (far + 850, far + 1080)], 1: [(100, 550)]}
+
+
+def test_least_places_in_pieces():
+    h = np.random.default_rng(6).integers(0, 40, 300).astype(np.uint64) << np.uint64(50)
+    for span in (1, 7, 161):
+        whole = [i + int(np.argmin(h[i : i + span])) for i in range(len(h) - span + 1)]
+        for places in (1, 16, 1000):
+            assert repeats._least_places(h, span, places).tolist() == whole
+
+
 def test_odd(spark, odd, empty):
     rows = repeats.remove_repeats(odd).collect()
     assert len(rows) == odd.count()
