@@ -282,14 +282,14 @@ def _summary(batches):
             for c, v in zip(cols, (n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words)):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "uid", "n_words")), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "uid", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-SUMMARY = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SUMMARY = "doc_id long, uid long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: words, words hit, items hit and the verdict.
+def _judged(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
+    """The rows of ``decontaminate`` with uid, the hash of a row's id and text.
 
     With one block of benchmark items nothing is shuffled but term counts.  With more, the hits of
     a document are brought together by its id.
@@ -300,17 +300,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = B
         index = build_index(docs, queries)
         hits.append(phrase_hits(index, queries, term_frequencies(index, len(queries.terms))))
     if len(hits) == 1:
-        whole = hits[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+        whole = hits[0].select("doc_id", "uid", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
         every = hits[0]
         for h in hits[1:]:
             every = every.unionByName(h)
         whole = every.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.count("*").alias("rows"))
         # each block has a row for every document, so repeated documents come back as often as they are
-        whole = whole.withColumn("copy", F.explode(F.expr(f"sequence(1, rows div {len(hits)})"))).select("doc_id", "n_words", "spans", "items")
+        whole = whole.withColumn("copy", F.explode(F.expr(f"sequence(1, rows div {len(hits)})"))).select("doc_id", "uid", "n_words", "spans", "items")
     return whole.mapInArrow(_summary, SUMMARY)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per document: words, words hit, items hit and the verdict."""
+    return _judged(docs, benchmark, block_words).drop("uid")
+
+
 def _or_empty(found):
     some = False
     for items in found:
@@ -321,6 +326,11 @@ def _or_empty(found):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that do not hold benchmark passages in a twentieth of their words."""
-    gone = stored(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "leaks", free=True)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that do not hold benchmark passages in a twentieth of their words.
+
+    Each row is judged by its own text: rows with a null id go if they leak, and a clean row stays
+    though another row with its id leaks.
+    """
+    gone = _judged(docs, benchmark, BLOCK_WORDS).where("contaminated").select(F.col("doc_id").alias("_gone"), F.col("uid").alias("_uid")).distinct()
+    gone = stored(gone, "leaks", free=True)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_uid")), "left_anti")

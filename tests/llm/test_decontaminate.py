@@ -48,6 +48,13 @@ def test_phrases(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in enumerate(brute(texts, items)) if not x[4]}
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    rows = [(None, "ab ab ab"), (None, "clean text"), (None, None), (1, "ab ab"), (1, "clean text"), (2, "ab ab"), (2, "ab ab"), (3, "clean text"), (3, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = d.drop_contaminated(docs, spark.createDataFrame([(1, "ab ab")], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1] is None or r[1].startswith("clean"))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "gamma x beta x alpha", "en", "s", 1), (2, "alpha " + "x " * 30 + "beta gamma", "en", "s", 1), (3, None, "en", "s", 1)], SCHEMA)
     q = d.Queries([(7, "alpha beta gamma")])
