@@ -19,6 +19,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
 from sheaf.llm.common import stored, workers
@@ -168,18 +169,26 @@ def mixed_documents(
 
     A pass that takes all blocks of a document gives its text unchanged; one that takes some gives
     their words, in order, a space between them.  ``n_chars``, if there, follows the text.
-    ``docs`` should have each (doc_id, text) once.
+    Repeated rows are separate documents, each with what the mix takes of its own place.
     """
     placed, _, _, uses = _drawn(docs, weights, factor, cap, block_words, shard_slots, seed)
+    rows = docs.withColumn("_uid", F.xxhash64("text"))
+    again = placed.groupBy("doc_id", "uid").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if again:
+        # both sides number the copies by source first, so that a number means one source; the rest fixes which row gets it
+        rest = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text", "source")]
+        placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "uid").orderBy("source", "start")))
+        rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_uid").orderBy("source", *rest)))
+    else:
+        placed, rows = placed.withColumn("copy", F.lit(1)), rows.withColumn("_copy", F.lit(1))
     pieces = _pieces(placed, block_words)
     same = pieces["source"].eqNullSafe(uses["source"]) & (pieces["block"] == uses["block"])
-    used = pieces.join(uses, same).select("doc_id", "uid", "size", "word", "words", "uses")
+    used = pieces.join(uses, same).select("doc_id", "uid", "copy", "size", "word", "words", "uses")
     taken = used.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
-    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "_pass").agg(
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("copy").alias("_c"), "_pass").agg(
         F.max("size").alias("_size"), F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts")
     )
-    rows = docs.withColumn("_uid", F.xxhash64("text"))
-    rows = rows.join(stored(taken, "mix-taken", free=True), rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_uid") == F.col("_u")))
+    rows = rows.join(stored(taken, "mix-taken", free=True), rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_uid") == F.col("_u")) & (F.col("_copy") == F.col("_c")))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     # the words are bound once by a one-element array; named in the inner function, they would be split again for each part
     cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["word"].cast("int") + 1, p["words"].cast("int"))))

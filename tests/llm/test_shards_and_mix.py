@@ -87,3 +87,20 @@ def test_odd_mix(spark, odd, empty):
     assert len(rows) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert {r["source"] for r in rows} == {"a", "b", "c", None}
     assert mixing.mix(empty)[0].count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_repeated_rows_in_the_mix(spark):
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("n", 150), "a", "x")] * 2 + [(1, text("o", 100), s, e) for s, e in (("a", "x"), ("a", "y"), ("b", "x"), (None, "x"))]
+    rows += [(i, text(f"r{i}_", 70), "abc"[i % 3], "z") for i in range(2, 20)] + [(30, None, "a", "x")] * 2 + [(31, " ", "b", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
+    got, taken = Counter(), Counter()
+    for r in mixing.mixed_documents(docs, block_words=16).collect():
+        w = words(r["text"])
+        assert w and len(set(w)) == len(w)
+        got[r["doc_id"], r["source"]] += len(w)
+    for r in mixing.mix(docs, block_words=16)[0].collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    assert got == +taken
+    again = [sorted(map(str, mixing.mixed_documents(docs.repartition(n, "extra"), block_words=16).collect())) for n in (1, 5)]
+    assert again[0] == again[1]
