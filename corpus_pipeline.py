@@ -42,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies."""
+    """Keep the smallest id of each group of near copies, linked from a similarity of 0.85 on."""
     return neardup.deduplicate(docs)
 
 

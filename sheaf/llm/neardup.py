@@ -1,16 +1,16 @@
 """MinHash near-duplicates: one-permutation hashing, bands and star-shaped candidate edges.
 
 1. Each document's distinct five-word shingles are hashed; documents with equal sets are one class.
-2. One permutation: a shingle falls into one of ``BINS`` bins, each bin keeps its smallest hash,
-   and empty bins borrow from filled bins in an order that two-universal hashing fixes (optimal
-   densification).  ``BANDS`` groups of ``ROWS`` bins are bucket keys.
+2. One permutation: a shingle falls into one of a number of bins, each bin keeps its smallest
+   hash, and empty bins borrow from filled bins in an order that two-universal hashing fixes
+   (optimal densification).  Groups of ``ROWS`` bins are bucket keys; ``bands_for`` gives how many.
 3. Within a bucket every class is paired with the smallest one only (a star), and the pairs are
    confirmed on full sets.  Confirmed pairs give the first components.
 4. A star loses pairs of leaves.  So where a failed pair stands between two components, the
    members outside the largest of them are compared, in blocks, with all members of the group;
    only links that join components are emitted.  No bucket or group is capped.
 
-At a similarity of 0.85 a pair shares no bucket with a chance of about 1e-5, and less above.
+At the threshold a pair shares no bucket with a chance of about 1e-5, and less above.
 
 Nulls and odd input: null and empty texts have empty sets, are linked with nothing and kept; with
 fewer than five words the whole sequence is the one shingle; equal texts and repeated rows are in
@@ -20,6 +20,7 @@ one class; very long texts are hashed whole.  Rows with a null id keep a null co
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,21 @@ from sheaf.llm.components import components
 from sheaf.llm.wordpos import SPACES, groups_of, joined, mix, prefix_sums, range_hash, words
 
 WIDTH = 5
-ROWS, BANDS = 8, 36
-BINS = ROWS * BANDS
+ROWS, MISSED = 8, 1e-5
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: With fewer distinct shingles than this only equal sets reach 0.85.
-LEAST = 6
+
+
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair at the threshold with a chance of about MISSED: 36 at 85, 63 at 80."""
+    return max(1, round(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def least_for(percent: int) -> int | None:
+    """With fewer distinct shingles than this only equal sets reach the threshold: 6 at 85, 4 at 80."""
+    return -(-percent // (100 - percent)) if percent < 100 else None
+
+
+BINS = ROWS * bands_for(85)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -65,35 +76,37 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _donors(seed: int = 41, tries: int = 2048) -> np.ndarray:
+def _donors(seed: int = 41, tries: int = 2048, bins: int = BINS) -> np.ndarray:
     """For every bin, the bins that it asks in turn when it is empty."""
-    return np.random.default_rng(seed).integers(0, BINS, (tries, BINS))
+    return np.random.default_rng(seed).integers(0, bins, (tries, bins))
 
 
 def signatures(sets: list[np.ndarray], donors: np.ndarray) -> np.ndarray:
-    """One row of BINS values for each (non-empty) set."""
+    """One row of values, one a bin, for each (non-empty) set."""
+    bins = donors.shape[1]
     sizes = np.array([len(s) for s in sets])
     every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    slot = row * BINS + ((every >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    slot = row * bins + ((every >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     new = np.flatnonzero(np.diff(slot, prepend=-1))  # sets are sorted, so a bin's first value is its least
-    values, filled = np.zeros(len(sets) * BINS, np.uint64), np.zeros(len(sets) * BINS, bool)
+    values, filled = np.zeros(len(sets) * bins, np.uint64), np.zeros(len(sets) * bins, bool)
     values[slot[new]], filled[slot[new]] = every[new], True
     empty = np.flatnonzero(~filled)
     for asked in donors:
         if not len(empty):
             break
-        donor = empty - empty % BINS + asked[empty % BINS]
+        donor = empty - empty % bins + asked[empty % bins]
         found = filled[donor]
         values[empty[found]] = values[donor[found]]
         empty = empty[~found]
     for at in empty:  # not reached within the table: the set's smallest hash
-        values[at] = sets[at // BINS][0]
-    return values.reshape(len(sets), BINS)
+        values[at] = sets[at // bins][0]
+    return values.reshape(len(sets), bins)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
-    cut = sig.reshape(len(sig), BANDS, ROWS)
+    bands = sig.shape[1] // ROWS
+    h = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
+    cut = sig.reshape(len(sig), bands, ROWS)
     for r in range(ROWS):
         h = h * STEP + cut[:, :, r]
     return mix(h).view(np.int64)
@@ -102,19 +115,24 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
-def _sign(batches):
-    donors = _donors()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            rows = batch.slice(at, 1000)
-            sets = shingle_sets(rows.column("text").to_pylist())
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            wide = [i for i, s in enumerate(sets) if len(s) >= LEAST]
-            keys: list = [[]] * len(sets)
-            if wide:
-                for i, k in zip(wide, band_keys(signatures([sets[i] for i in wide], donors))):
-                    keys[i] = k
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+def _sign(percent: int):
+    bins, least = ROWS * bands_for(percent), least_for(percent)
+
+    def run(batches):
+        donors = _donors(bins=bins)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                sets = shingle_sets(rows.column("text").to_pylist())
+                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                wide = [i for i, s in enumerate(sets) if least and len(s) >= least]
+                keys: list = [[]] * len(sets)
+                if wide:
+                    for i, k in zip(wide, band_keys(signatures([sets[i] for i in wide], donors))):
+                        keys[i] = k
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+
+    return run
 
 
 def similar(inter, a, b, percent: int):
@@ -249,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
     """
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "near-signed")
+    signed = stored(docs.select("doc_id", "text").mapInArrow(_sign(percent), SIGNED), "near-signed")
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     known = stored(signed.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-classes")
     keyed = known.select("doc_id", F.explode("bands").alias("key"))

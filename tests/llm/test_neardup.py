@@ -65,6 +65,24 @@ def test_signatures_estimate_similarity():
     assert (neardup.signatures([np.unique(a)], neardup._donors()) == sig[:1]).all()
 
 
+def test_links_from_80(spark):
+    """4 in 5 and 5 in 6 shingles, 0.80 to 0.849 in longer texts, and pairs below 0.80."""
+    rng, texts = random.Random(12), []
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    for n in [8] * 20 + [9] * 20 + [12] * 20 + [44] * 40 + [84] * 40:
+        base = fresh(n)
+        more = {8: 1, 9: 1, 12: 1, 44: 10, 84: 20}[n]  # appended words: n - 4 shingles in n - 4 + more
+        texts += [" ".join(base), " ".join(base + fresh(more)), " ".join(fresh(2) + base[1:] + fresh(more))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    comp, _ = brute(texts, 80)
+    assert len(set(comp)) < len(set(brute(texts, 85)[0]))
+    assert {r["doc_id"] for r in neardup.deduplicate(df, percent=80).collect()} == set(comp)
+
+
+def test_bands_follow_the_threshold():
+    assert [(neardup.bands_for(p), neardup.least_for(p)) for p in (85, 80)] == [(36, 6), (63, 4)] and neardup.least_for(100) is None
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
