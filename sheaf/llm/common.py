@@ -1,17 +1,17 @@
-"""Helpers that the training-data operators share: inputs, scratch tables and folds."""
+"""Helpers that the training-data operators share: inputs, scratch tables, folds, samples and lookups."""
 
 from __future__ import annotations
 
 import gc
-import threading
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: A key with more than one in SHARES of all rows is hot; so there are fewer than SHARES hot keys.
+SHARES = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,64 +20,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), one is set."""
+    """The folder that driver and executors share.
+
+    Where none is named, one is made up if all tasks run in this machine's driver process (tests);
+    on a cluster a local folder would be another one on each executor, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = sc_dir.get() if sc_dir.isDefined() else None
     if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file:///tmp/sheaf-checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", base)
-        _delete_at_exit(spark, base)
+        _fs(spark, base, "deleteOnExit")
     return base.rstrip("/")
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-
+def _fs(spark: SparkSession, path: str, method: str, *args):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), method)(hpath, *args)
 
-_now = threading.local()
 
+#: Tables that ``stored`` wrote: path, and a weak reference of the JVM to the index of its files.
+_tables: list[tuple[str, object]] = []
 
-@contextmanager
-def recorded(paths: list[str]):
-    """Note the tables that ``stored`` writes meanwhile (in this thread)."""
-    before, _now.paths = getattr(_now, "paths", None), paths
-    try:
-        yield paths
-    finally:
-        _now.paths = before
 
+def sweep(spark: SparkSession) -> None:
+    """Delete the stored tables that no plan refers to any more.
 
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Delete noted tables whose readers are done."""
-    jvm = spark.sparkContext._jvm
-    while paths:
-        hpath = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    All plans over a table share one index of its files.  Once the JVM has collected that, nothing
+    can read the table again, lazy plans included.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    for entry in _tables[:]:
+        path, index = entry
+        if index.get() is None:
+            _tables.remove(entry)
+            _fs(spark, path, "delete", True)
 
 
 def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage: later stages depend on replicated files, not on shuffle output of
-    executors that may be lost.  The table goes when the driver's JVM ends.  With ``free``, Spark is
-    asked to drop the shuffle files that nothing refers to any more.
+    executors that may be lost.  The table goes when the driver's JVM ends at the latest.  With
+    ``free``, tables and shuffle files that nothing refers to any more are deleted now.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if getattr(_now, "paths", None) is not None:
-        _now.paths.append(path)
-    _delete_at_exit(spark, path)
+    _fs(spark, path, "deleteOnExit")
     if free:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+        sweep(spark)
+    out = spark.read.schema(schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    return out
 
 
 def ascii_lower(col: Column) -> Column:
@@ -93,3 +96,42 @@ def id_fold(modulus: int, doc_id: str = "doc_id") -> Column:
 def workers(spark: SparkSession) -> int:
     """Partitions for work that is spread by hand: what the session shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def at_most(df: DataFrame, rows: int, total: int, *by: str, seed: int = 0) -> DataFrame:
+    """At most ``rows`` rows of ``df`` (which has ``total``), the first by a hash of columns ``by``.
+
+    Those under a share of the hash's range a little above rows / total are ordered and cut, so
+    what is ordered is bounded, too, whatever the size of the table.
+    """
+    if total <= rows:
+        return df
+    h = F.shiftrightunsigned(F.xxhash64(*by, F.lit(seed)), 1)
+    some = df.where(h < int((1 << 63) * min(1.0, (rows + 4 * rows**0.5) / total)))
+    return some.orderBy(h, *by).limit(rows)
+
+
+def lookup(rows: DataFrame, key: str, found: DataFrame, values: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with ``values`` of ``found``, which has one row for each value of its column ``key``.
+
+    Hot keys of ``rows`` are fewer than SHARES, so their part of ``found`` is broadcast; only the
+    other rows are dealt by key.  ``key`` may be null (no value is found); ``how`` is left or inner.
+    """
+    names = [*rows.columns, *values]
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    hot = [r["__k"] for r in counts.where(F.col("__n") > max(SHARES, total // SHARES)).select("__k").collect()]
+    right = found.select(F.col(key).alias("__k"), *[F.col(v).alias(f"__{v}") for v in values])
+    join = lambda a, b: a.join(b, F.col(key) == F.col("__k"), how).select(*rows.columns, *[F.col(f"__{v}").alias(v) for v in values])
+    if hot:
+        warm = F.col(key).isin(hot)
+        parts = [join(rows.where(warm), F.broadcast(right.where(F.col("__k").isin(hot)))), join(rows.where(~warm), right)]
+    else:
+        parts = [join(rows.where(F.col(key).isNotNull()), right)]
+    if how == "left":
+        blank = [F.lit(None).cast(found.schema[v].dataType).alias(v) for v in values]
+        parts.append(rows.where(F.col(key).isNull()).select(*rows.columns, *blank))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*names)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import stored, workers
 from sheaf.llm.components import components
-from sheaf.llm.wordpos import SPACES, groups_of, joined, mix, prefix_sums, range_hash, words
+from sheaf.llm.wordpos import SPACES, groups_of, joined, mix, row_groups, word_hashes, words
 
 WIDTH = 5
 ROWS, MISSED = 8, 1e-5
@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     for part in groups_of(texts):
         raw, begin = joined(texts[part])
         start, end = words(raw, SPACES)
-        w = range_hash(prefix_sums(raw), start, end)
+        w = word_hashes(raw, start, end)
         first = np.searchsorted(start, begin)
         h = np.zeros(max(0, len(w) - WIDTH + 1), np.uint64)
         for j in range(WIDTH):
@@ -121,8 +121,7 @@ def _sign(percent: int):
     def run(batches):
         donors = _donors(bins=bins)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for rows in row_groups(batch):
                 sets = shingle_sets(rows.column("text").to_pylist())
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 wide = [i for i, s in enumerate(sets) if least and len(s) >= least]
@@ -144,7 +143,7 @@ def _stars(percent: int):
 
     def run(batches):
         at, centre = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_groups(whole)):
             sets = shingle_sets(batch.column("text").to_pylist())
             out = []
             for u, salt, role, d, s in zip(*(batch.column(c).to_pylist() for c in ("u", "salt", "role", "id")), sets):
@@ -228,7 +227,7 @@ def _blocks(percent: int):
 
     def run(batches):
         at, block, seen = None, _Block(), _Joined()
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_groups(whole)):
             sets = shingle_sets(batch.column("text").to_pylist())
             out = []
             for g, salt, role, comp, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "role", "comp")), sets):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm.calibrate import apply_bins, fit_bins
-from sheaf.llm.common import id_fold, stored
+from sheaf.llm.common import at_most, id_fold, stored
+from sheaf.llm.wordpos import SPAN, prefix_sums, range_hash, row_groups
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-MIXED = re.compile(r"\b[^\W_]{0,20}[0-9@$!][^\W_0-9]\S{0,40}|\b(?:[^\W\d_][.\-*_ ]){3,20}[^\W\d_]\b")
+WORD = re.compile(r"[^\W\d_]+")
+STEMS = (4, 5, 6)
 #: Signs that stand for letters, and second-person pronouns of four languages.
-LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 SECOND = frozenset("you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ti tus vosotros".split())
 FEATURES = (
     "top", "total", "hits", "density", "distinct", "near_you", "you", "capitals", "shout", "punct", "bangs", "obfuscated", "mixed", "log_words",
@@ -43,13 +45,13 @@ COLUMNS = tuple(f"__tox_{f}" for f in FEATURES)
 def keys(words) -> set[str]:
     """Distinct words and their stems (marked by a star)."""
     out = set(words)
-    out.update(w[:n] + "*" for w in set(words) for n in (4, 5, 6) if len(w) > n)
+    out.update(w[:n] + "*" for w in set(words) for n in STEMS if len(w) > n)
     return out
 
 
 def _count_batches(batches):
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_groups(whole)):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             counts[y].update(keys(WORD.findall((text or "").lower())))
     every = list(counts[0].keys() | counts[1].keys())
@@ -70,59 +72,184 @@ def learn_lexicon(train: DataFrame, *, least: int = 4, weight: float = 4.0, entr
     return {r["key"]: r["w"] for r in best.orderBy(F.desc("w"), "key").limit(entries).collect()}
 
 
-def _weight(word: str, lexicon: dict[str, float]) -> float:
-    w = lexicon.get(word, 0.0)
-    for n in (4, 5, 6):
-        if len(word) > n:
-            w = max(w, lexicon.get(word[:n] + "*", 0.0))
-    return w
-
-
-def features(text: str | None, lexicon: dict[str, float], known: dict[str, float]) -> list[float]:
-    """Dense features of one text.  ``known`` caches the weights of words seen before."""
-    text = text or ""
-    raw = WORD.findall(text)
-    n = len(raw) or 1
-    hits, you, shout = [], [], 0
-    for i, word in enumerate(raw):
-        w = known.get(word)
-        if w is None:
-            w = _weight(word.lower(), lexicon) + (1000.0 if word.lower() in SECOND else 0.0) + (10_000.0 if len(word) > 2 and word.isupper() else 0.0)
-            if len(known) < 500_000:
-                known[word] = w
-        if w:
-            if w >= 10_000.0:
-                shout, w = shout + 1, w - 10_000.0
-            if w >= 1000.0:
-                you.append(i)
-                w -= 1000.0
-            if w:
-                hits.append((i, w, word))
-    hidden = mixed = 0
-    for m in MIXED.findall(text):
-        mixed += 1
-        plain = m.lower().translate(LEET)
-        if lexicon and (_weight(re.sub(r"[^\w]|[\d_]", "", plain), lexicon) >= 4.0 or any(_weight(p, lexicon) >= 4.0 for p in WORD.findall(plain))):
-            hidden += 1
-    near = 0
-    if hits and you:
-        at = np.array(you)
-        near = sum(int(np.abs(at - i).min() <= 5) for i, _, _ in hits)
-    top, total = max((w for _, w, _ in hits), default=0.0), sum(w for _, w, _ in hits)
-    size = len(text) or 1
-    punct = sum(map(text.count, ".,;:?!\"'()-*#%&$|"))
-    return [
-        top, total, float(len(hits)), len(hits) / n, float(len({x.lower() for _, _, x in hits})), near / n, len(you) / n, shout / n,
-        sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size, punct / size, text.count("!") / size, float(hidden), mixed / n, math.log1p(len(raw)),
-    ]
-
-
-def _featurise(lexicon: dict[str, float]):
+LETTER, SIGN, SPACE, GAP, CAPITAL, PUNCT, BANG, UPPER = (np.uint8(1 << i) for i in range(8))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: classes (bits), lower case, and lower case with signs read as letters."""
+    kinds, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum() and not c.isdecimal():
+            kinds[i] |= LETTER | (UPPER if c.isupper() else 0)
+            if len(c.lower()) == 1:
+                low[i] = ord(c.lower())
+        elif c.isspace():
+            kinds[i] |= SPACE
+    for chars, bit in (("0123456789@$!", SIGN), (".-*_ ", GAP), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", CAPITAL), (".,;:?!\"'()-*#%&$|", PUNCT), ("!", BANG)):
+        kinds[[ord(c) for c in chars]] |= bit
+    plain = low.copy()
+    for sign, letter in LEET.items():
+        plain[ord(sign)] = ord(letter)
+    return kinds, low, plain
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words, as ``range_hash`` gives them over code points."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return range_hash(prefix_sums(codes), end - [len(w) for w in words], end)
+
+
+class Lexicon:
+    """Weights of words and stems by hash."""
+
+    def __init__(self, weights: dict[str, float]):
+        words, stems = [w for w in weights if w[-1] != "*"], [w for w in weights if w[-1] == "*"]
+        self.words, self.stems = self._table(words, [weights[w] for w in words]), self._table([w[:-1] for w in stems], [weights[w] for w in stems])
+        self.second = np.sort(_hashes(sorted(SECOND)))
+
+    @staticmethod
+    def _table(words, weights):
+        h = _hashes(words) if words else np.zeros(0, np.uint64)
+        order = np.argsort(h)
+        return h[order], np.array(weights, np.float64)[order]
+
+    @staticmethod
+    def _find(h: np.ndarray, table) -> np.ndarray:
+        keys, weights = table
+        if not len(keys):
+            return np.zeros(len(h))
+        at = np.searchsorted(keys, h)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == h, weights[at], 0.0)
+
+    def weigh(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+        """Weight of each word: the largest of its own and its stems' weights."""
+        w = self._find(range_hash(sums, start, end) if h is None else h, self.words)
+        for n in STEMS if len(self.stems[0]) else ():
+            longer = np.flatnonzero(end - start > n)
+            w[longer] = np.maximum(w[longer], self._find(range_hash(sums, start[longer], start[longer] + n), self.stems))
+        return w
+
+    def is_second(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.second, h)
+        at[at == len(self.second)] = 0
+        return self.second[at] == h
+
+
+def pieces(text: str, most: int = SPAN) -> list[str]:
+    """A text in pieces of at most ``most`` characters, cut after a space if there is one."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most)) + 1
+        cut = cut if cut > at else at + most
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _measure(units: list[tuple[int, str]], lexicon: Lexicon, out: dict[str, np.ndarray], seen: list[np.ndarray]) -> None:
+    """Add the counts of some pieces (document, text) to those of their documents."""
+    kinds, low, plain = _tables()
+    parts = [np.frombuffer(f"{t}\n".encode("utf-32-le", "surrogatepass"), np.uint32) for _, t in units]
+    begin = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) for p in parts], out=begin[1:])
+    docs, codes = np.array([d for d, _ in units]), np.concatenate(parts)
+    kind = kinds[codes]
+    unit_of = lambda at: np.searchsorted(begin, at, "right") - 1
+    add = lambda name, at, by=1.0: np.add.at(out[name], docs[unit_of(at)], by)
+    np.add.at(out["chars"], docs, np.diff(begin) - 1)
+    for name, bit in (("capitals", CAPITAL), ("punct", PUNCT), ("bangs", BANG)):
+        np.add.at(out[name], docs, np.add.reduceat((kind & bit) != 0, begin[:-1], dtype=np.int64))
+    start, end = _runs((kind & LETTER) != 0)
+    if not len(start):
+        return
+    sums = prefix_sums(low[codes])
+    h, size = range_hash(sums, start, end), end - start
+    add("words", start)
+    upper = np.concatenate([[0], np.cumsum((kind & UPPER) != 0)])
+    add("shout", start[(size > 2) & (upper[end] - upper[start] == size)])
+    w, you = lexicon.weigh(sums, start, end, h), lexicon.is_second(h)
+    add("you", start[you])
+    hit = np.flatnonzero(w > 0)
+    if len(hit):
+        doc = docs[unit_of(start[hit])]
+        np.maximum.at(out["top"], doc, w[hit])
+        np.add.at(out["total"], doc, w[hit])
+        np.add.at(out["hits"], doc, 1.0)
+        seen.append(np.unique(np.column_stack([doc.astype(np.uint64), h[hit]]), axis=0))
+        place = np.arange(len(start)) + unit_of(start) * 16  # pieces are far apart
+        at = place[you]
+        close = np.searchsorted(at, place[hit] + 5, "right") > np.searchsorted(at, place[hit] - 5, "left")
+        np.add.at(out["near_you"], doc[close], 1.0)
+    # obfuscated: tokens with a sign before a letter, and letters drawn apart
+    marks = np.flatnonzero(((kind[:-1] & SIGN) != 0) & ((kind[1:] & LETTER) != 0))
+    if len(marks):
+        first, last = _runs((kind & SPACE) == 0)
+        token = np.unique(np.searchsorted(first, marks, "right") - 1)
+        first, last = first[token], last[token]
+        add("mixed", first)
+        length = last - first + 1  # with the space that follows
+        inside = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        owner = np.repeat(np.arange(len(first)), length)
+        read = plain[codes[inside]]
+        letter = (kinds[read] & LETTER) != 0
+        whole, whole_of = read[letter], owner[letter]  # all letters of a token, joined
+        a, b = np.searchsorted(whole_of, np.arange(len(first))), np.searchsorted(whole_of, np.arange(len(first)), "right")
+        found = lexicon.weigh(prefix_sums(whole), a, b) >= 4.0
+        a, b = _runs(letter)  # its words
+        strong = lexicon.weigh(prefix_sums(read), a, b) >= 4.0
+        found[owner[a[strong]]] = True
+        add("obfuscated", first[found])
+    single = size == 1
+    link = single[:-1] & single[1:] & (start[1:] == end[:-1] + 1) & ((kind[np.minimum(end[:-1], len(kind) - 1)] & GAP) != 0)
+    a, b = _runs(link)
+    a, b = a[b - a >= 3], b[b - a >= 3] + 1
+    if len(a):
+        add("mixed", start[a])
+        strong = lexicon.weigh(prefix_sums(low[codes[start]]), a, b) >= 4.0
+        add("obfuscated", start[a[strong]])
+
+
+COUNTS = ("chars", "words", "capitals", "punct", "bangs", "shout", "you", "near_you", "top", "total", "hits", "mixed", "obfuscated")
+
+
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """Dense features, a row for each text.  Long texts are measured in pieces, which add up; only
+    a hit and a pronoun on two sides of a cut are not seen as near."""
+    out, seen, units, size = {c: np.zeros(len(texts)) for c in COUNTS}, [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text or ""):
+            if units and size + len(piece) > SPAN:
+                _measure(units, lexicon, out, seen)
+                units, size = [], 0
+            units.append((i, piece))
+            size += len(piece) + 1
+    if units:
+        _measure(units, lexicon, out, seen)
+    distinct = np.zeros(len(texts))
+    if seen:
+        pairs = np.unique(np.concatenate(seen), axis=0)
+        np.add.at(distinct, pairs[:, 0].astype(np.int64), 1.0)
+    n, chars = np.maximum(out["words"], 1), np.maximum(out["chars"], 1)
+    return np.column_stack([
+        out["top"], out["total"], out["hits"], out["hits"] / n, distinct, out["near_you"] / n, out["you"] / n, out["shout"] / n,
+        out["capitals"] / chars, out["punct"] / chars, out["bangs"] / chars, out["obfuscated"], out["mixed"] / n, np.log1p(out["words"]),
+    ])
+
+
+def _featurise(weights: dict[str, float]):
     def run(batches):
-        known: dict[str, float] = {}
-        for batch in batches:
-            rows = [features(t, lexicon, known) for t in batch.column("text").to_pylist()]
-            cols = np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
+        lexicon = Lexicon(weights)
+        for batch in (part for whole in batches for part in row_groups(whole)):
+            cols = features(batch.column("text").to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cols[:, i]) for i in range(len(FEATURES))]], [*batch.schema.names, *COLUMNS])
 
     return run
@@ -135,11 +262,12 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
 
 def labelled_text(docs: DataFrame, labels: DataFrame, label: str, use, rows: int, seed: int = 3) -> DataFrame:
-    """(doc_id, text, y) of about ``rows`` labelled documents where ``use`` holds."""
+    """(doc_id, text, y) of the documents of at most ``rows`` labels where ``use`` holds.
+
+    Of labels that contradict each other the larger one holds."""
     known = labels.where(F.col(label).isin(0, 1) & use).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    total = known.count()
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, total))) + 1)
-    # the sample is bounded by ``rows``, so it is sent to the documents rather than they to it
+    known = at_most(known, rows, known.count(), "doc_id", seed=seed)
+    # not more than ``rows`` pairs of numbers, so they are sent to the documents rather than they to them
     return stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")
 
 
@@ -151,7 +279,7 @@ class Model:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 5) -> Model:
-        """Fitted on about ``train_rows`` labelled documents whose fold is not 1: the lexicon and
+        """Fitted on at most ``train_rows`` labels of documents whose fold is not 1: the lexicon and
         trees on three quarters of them, the calibration on the rest."""
         train = labelled_text(docs, labels, "toxic", id_fold(3) != 1, train_rows)
         part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))

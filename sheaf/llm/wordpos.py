@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+#: Bytes that are hashed at once; longer words are hashed one by one by another function.
+SPAN, LONG = 1 << 18, 1 << 16
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, modulo 2**64 (BASE is odd, so it has an inverse)."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, base in enumerate((BASE, inverse)):
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 2 * SPAN)
+        made = []
+        for base in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
             out = np.full(size, base, np.uint64)
             out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
+            made.append(np.multiply.accumulate(out))
+        if size > 2 * SPAN:
+            return made[0], made[1]
+        _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -43,6 +51,21 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word of ``raw``, equal for equal bytes; memory is bounded by SPAN, not by ``raw``."""
+    out = np.empty(len(start), np.uint64)
+    huge = np.flatnonzero(end - start > LONG)
+    for i in huge.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    for low, high in zip([0, *(huge + 1).tolist()], [*huge.tolist(), len(start)]):
+        while low < high:
+            until = max(low + 1, min(high, int(np.searchsorted(end, start[low] + SPAN, "right"))))
+            base = start[low]
+            out[low:until] = range_hash(prefix_sums(raw[base : end[until - 1]]), start[low:until] - base, end[low:until] - base)
+            low = until
+    return out
+
+
 def word_class(spec: list[tuple[int, int]]) -> np.ndarray:
     """Table of 256: true for bytes that belong to words, given ranges of bytes that do not."""
     inside = np.ones(256, bool)
@@ -74,7 +97,7 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[np.frombuffer(b" ".join(parts) + b" ", np.uint8)], begin
 
 
-def groups_of(texts: list, most: int = 4_000_000):
+def groups_of(texts: list, most: int = SPAN):
     """Slices of a list of texts, each of about ``most`` characters or one text."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -85,3 +108,16 @@ def groups_of(texts: list, most: int = 4_000_000):
         size += n
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def row_groups(batch, column: str = "text", most: int = 1 << 20, rows: int = 1_000):
+    """Slices of an Arrow batch, each of about ``most`` bytes of a column or one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = size = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > at and (size + n > most or i - at == rows):
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)

@@ -2,7 +2,9 @@
 
 import os
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,10 +33,62 @@ def test_held_out_accuracy(spark, module, label, least):
 
 
 def test_lexicon_and_obfuscation():
-    lexicon = {"moron": 6.0, "lowei*": 5.0}
-    at = dict(zip(toxicity.FEATURES, toxicity.features("You are a Moron, du loweischaft m0ron m.o.r.o.n", lexicon, {})))
+    lexicon = toxicity.Lexicon({"moron": 6.0, "lowei*": 5.0})
+    at = dict(zip(toxicity.FEATURES, toxicity.features(["You are a Moron, du loweischaft m0ron m.o.r.o.n"], lexicon)[0]))
     assert at["top"] == 6 and at["hits"] == 2 and at["distinct"] == 2 and at["near_you"] > 0 and at["obfuscated"] >= 2
-    assert set(toxicity.features(None, lexicon, {})) == {0.0}
+    assert set(toxicity.features([None], lexicon)[0]) == {0.0}
+    long = "x" * 90 + "m0ron" + "y" * 90  # long obfuscated words are read whole
+    assert toxicity.features([long + " " + "z1" * 60 + "!moron"], toxicity.Lexicon({"x" * 90 + "moron" + "y" * 90: 9.0}))[0][11] == 1
+
+
+def plain_features(text, weights):
+    """The dense features, word by word."""
+    text = text or ""
+    weigh = lambda w: max([weights.get(w, 0.0), *[weights.get(w[:n] + "*", 0.0) for n in (4, 5, 6) if len(w) > n]])
+    lower = lambda t: "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    spans = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", text)]
+    words = [w for _, _, w in spans]
+    hits = [(i, weigh(lower(w))) for i, w in enumerate(words) if weigh(lower(w)) > 0]
+    you = [i for i, w in enumerate(words) if lower(w) in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i, _ in hits)
+    read = lambda t: "".join(toxicity.LEET.get(c, c) for c in lower(t))
+    mixed = hidden = 0
+    for token in text.split():
+        if re.search(r"[0-9@$!][^\W\d_]", token):
+            mixed += 1
+            found = toxicity.WORD.findall(read(token))
+            hidden += any(weigh(w) >= 4.0 for w in [*found, "".join(found)])
+    run = []
+    for k, (a, b, w) in enumerate([*spans, (0, 9, "")]):
+        if len(w) == 1 and run and a == run[-1][1] + 1 and text[a - 1] in ".-*_ ":
+            run.append((a, b, w))
+            continue
+        if len(run) >= 4:
+            mixed += 1
+            hidden += weigh(lower("".join(x for _, _, x in run))) >= 4.0
+        run = [(a, b, w)] if len(w) == 1 else []
+    n, size = max(1, len(words)), max(1, len(text))
+    share = lambda chars: sum(text.count(c) for c in chars) / size
+    shout = sum(len(w) > 2 and all(c.isupper() for c in w) for w in words)
+    return [
+        max((w for _, w in hits), default=0.0), sum(w for _, w in hits), len(hits), len(hits) / n, len({lower(words[i]) for i, _ in hits}), near / n, len(you) / n, shout / n,
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(".,;:?!\"'()-*#%&$|"), share("!"), hidden, mixed / n, np.log1p(len(words)),
+    ]
+
+
+def test_features_against_plain_version():
+    rng = random.Random(6)
+    stock = "you DU tes moron M0R0N m.o.r.o.n m-o r o n a I i d i o t Ärger ÄRGER loweischaft löwe2x x3y 12 4u $a!l ... ' -- |x| 日本 ß İstanbul\t\n idiot! idi0t,so not_me".split(" ")
+    weights = {"moron": 6.0, "idiot": 4.5, "lowei*": 5.0, "ärge*": 2.0, "so": 1.0}
+    texts = [None, "", " ", "\n", *[" ".join(rng.choice(stock) for _ in range(rng.randrange(1, 60))) for _ in range(300)]]
+    found = toxicity.features(texts, toxicity.Lexicon(weights))
+    for text, row in zip(texts, found):
+        assert np.allclose(row, plain_features(text, weights)), text
+    # the same in many groups, and a long text in pieces
+    long = " ".join(rng.choice(stock) for _ in range(120_000))
+    cut = toxicity.features([*texts, long], toxicity.Lexicon(weights))
+    assert np.allclose(cut[:-1], found) and np.allclose(np.delete(cut[-1], [5, 11, 12]), np.delete(np.array(plain_features(long, weights)), [5, 11, 12]))
+    assert len(toxicity.pieces(long)) > 2 and "".join(toxicity.pieces(long)) == long
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
