@@ -83,6 +83,16 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -111,27 +121,40 @@ def at_most(df: DataFrame, rows: int, total: int, *by: str, seed: int = 0) -> Da
     return some.orderBy(h, *by).limit(rows)
 
 
-def lookup(rows: DataFrame, key: str, found: DataFrame, values: list[str], how: str = "left") -> DataFrame:
-    """``rows`` with ``values`` of ``found``, which has one row for each value of its column ``key``.
+def lookup(rows: DataFrame, key: str | list[str], found: DataFrame, values: list[str], how: str = "left", n: str | None = None) -> DataFrame:
+    """``rows`` with ``values`` of ``found``, which has one row for each value of its ``key`` columns.
 
     Hot keys of ``rows`` are fewer than SHARES, so their part of ``found`` is broadcast; only the
-    other rows are dealt by key.  ``key`` may be null (no value is found); ``how`` is left or inner.
+    other rows are dealt by key.  ``n`` names a column of ``found`` with the number of rows of each
+    key, if it has that.  A null key has no values; ``how`` is left or inner.
     """
-    names = [*rows.columns, *values]
-    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
-    total = rows.count()
-    hot = [r["__k"] for r in counts.where(F.col("__n") > max(SHARES, total // SHARES)).select("__k").collect()]
-    right = found.select(F.col(key).alias("__k"), *[F.col(v).alias(f"__{v}") for v in values])
-    join = lambda a, b: a.join(b, F.col(key) == F.col("__k"), how).select(*rows.columns, *[F.col(f"__{v}").alias(v) for v in values])
-    if hot:
-        warm = F.col(key).isin(hot)
-        parts = [join(rows.where(warm), F.broadcast(right.where(F.col("__k").isin(hot)))), join(rows.where(~warm), right)]
+    keys = [key] if isinstance(key, str) else key
+    marks = [f"__k{i}" for i in range(len(keys))]
+    whole = ~F.greatest(F.lit(False), *[F.col(k).isNull() for k in keys])
+    named = [F.col(k).alias(m) for k, m in zip(keys, marks)]
+    counts = found.select(*named, F.col(n).alias("__n")) if n else rows.where(whole).groupBy(*named).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("s"), F.max("__n").alias("m")).first()
+    least = max(SHARES, (total["s"] or 0) // SHARES)
+    right = found.select(*named, *[F.col(v).alias(f"__{v}") for v in values])
+
+    def join(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        on = F.lit(True)
+        for k, m in zip(keys, marks):
+            on = on & (F.col(k) == F.col(m))
+        return a.join(b, on, kind)
+
+    def with_values(a: DataFrame, b: DataFrame) -> DataFrame:
+        return join(a, b, how).select(*rows.columns, *[F.col(f"__{v}").alias(v) for v in values])
+
+    known = rows.where(whole)
+    if (total["m"] or 0) > least:
+        hot = counts.where(F.col("__n") > least).select(*marks)
+        hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+        warm = right.join(hot, marks, "left_semi")
+        out = with_values(join(known, hot, "left_anti"), right).unionByName(with_values(join(known, hot, "left_semi"), F.broadcast(warm)))
     else:
-        parts = [join(rows.where(F.col(key).isNotNull()), right)]
+        out = with_values(known, right)
     if how == "left":
         blank = [F.lit(None).cast(found.schema[v].dataType).alias(v) for v in values]
-        parts.append(rows.where(F.col(key).isNull()).select(*rows.columns, *blank))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*names)
+        out = out.unionByName(rows.where(~whole).select(*rows.columns, *blank))
+    return out

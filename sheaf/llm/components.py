@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored
+from sheaf.llm.common import lookup, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    out = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).withColumn("m", F.least("w", "u"))
+    out = lookup(both.where("v > u"), "u", least, ["m"], "inner", n="n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    moved = down.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = lookup(down, "u", least, ["m"], "inner", n="n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars; each round is written to the shared folder.  The state is
     never more than one row per edge, and a node with many neighbours only ever meets their
-    minimum, which is pre-aggregated.
+    minimum, which is pre-aggregated; hot nodes get it by broadcast.
     """
     edges = stored(edges.where("u <> v").select("u", "v").distinct(), "cc")
     before = None

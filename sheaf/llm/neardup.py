@@ -6,15 +6,18 @@
    (optimal densification).  Groups of ``ROWS`` bins are bucket keys; ``bands_for`` gives how many.
 3. Within a bucket every class is paired with the smallest one only (a star), and the pairs are
    confirmed on full sets.  Confirmed pairs give the first components.
-4. A star loses pairs of leaves.  So where a failed pair stands between two components, the
-   members outside the largest of them are compared, in blocks, with all members of the group;
-   only links that join components are emitted.  No bucket or group is capped.
+4. A star loses pairs of leaves.  So all members of stars of which a link failed between two
+   components are compared by a second, exact search among them: sets that are similar share one of
+   their rarest shingles (a prefix filter).  Again only stars are emitted, in growing number.  No
+   bucket or group is capped.
 
 At the threshold a pair shares no bucket with a chance of about 1e-5, and less above.
 
 Nulls and odd input: null and empty texts have empty sets, are linked with nothing and kept; with
 fewer than five words the whole sequence is the one shingle; equal texts and repeated rows are in
-one class; very long texts are hashed whole.  Rows with a null id keep a null component.
+one class; very long texts are hashed whole.  Rows with a null id are linked with nothing: their
+component is null and they are kept.  Rows that share an id are one document: links are found
+for each text, and confirmed on the smallest text of the id.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored, workers
+from sheaf.llm.common import lookup, stored, workers
 from sheaf.llm.components import components
 from sheaf.llm.wordpos import SPACES, groups_of, joined, mix, row_groups, word_hashes, words
 
@@ -164,101 +167,87 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(workers(rows.sparkSession), *keys).sortWithinPartitions(*keys, "role", "id")
 
 
-def confirm_stars(edges: DataFrame, texts: DataFrame, percent: int, members: int = 256) -> DataFrame:
+def confirm_stars(edges: DataFrame, texts: DataFrame, percent: int, members: int = 1024, share: int = 256) -> DataFrame:
     """Edges (u, v) whose full sets are similar enough.
 
     A centre's text is sent once for each ``members`` of its members, so that no task gets a whole
-    star, and a task holds one centre at a time.
+    star, and a task holds one centre at a time.  Centres are multiplied in two steps, before and
+    after they meet their texts, so that no task has to write all copies of one.
     """
-    salts = edges.groupBy("u").agg(F.ceil(F.count("*") / members).cast("int").alias("salts"))
-    leaf = edges.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("v").alias("id"))
-    hub = salts.select("u", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role"), F.col("u").alias("id"))
-    rows = leaf.unionByName(hub).join(texts.withColumnRenamed("doc_id", "id"), "id").select("u", "salt", "role", "id", "text")
+    salts = stored(edges.groupBy("u").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / members).cast("int")), "near-salts")
+    leaf = lookup(edges, "u", salts, ["salts"], "inner", n="n").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("low"), F.lit(0).alias("more"), F.lit(1).alias("role"), F.col("v").alias("id"))
+    hub = salts.withColumn("low", F.explode(F.expr(f"sequence(0, salts - 1, {share})")))
+    hub = hub.select("u", "low", F.least(F.lit(share), F.col("salts") - F.col("low")).cast("int").alias("more"), F.lit(0).alias("role"), F.col("u").alias("id"))
+    rows = leaf.unionByName(hub).join(texts.withColumnRenamed("doc_id", "id"), "id")
+    rows = rows.select("u", "role", "id", "text", F.explode(F.expr("sequence(low, low + greatest(more, 1) - 1)")).alias("salt"))
     return _dealt(rows, ["u", "salt"]).mapInArrow(_stars(percent), "u long, v long")
 
 
-class _Joined:
-    """Union-find over the component labels that one block sees."""
+def _spread(batches):
+    """A row for each shingle of a document."""
+    for batch in (part for whole in batches for part in row_groups(whole)):
+        sets = shingle_sets(batch.column("text").to_pylist())
+        n = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), n)
+        ids, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(comps[row]), pa.array(n[row]), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "comp", "n", "h"])
 
-    def __init__(self):
-        self.up: dict[int, int] = {}
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def prefixes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(h, id, comp, first, n, m): the shingles of each node of which a similar node must have one.
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-class _Block:
-    """The documents of one block, with an index from shingle to those that have it."""
-
-    def __init__(self):
-        self.comps, self.sets, self.index = [], [], None
+    A set's shingles are ordered by the number of nodes that have them.  Similar sets share one of
+    the first n - ceil(n * percent / 100) + 1, and one that no other node has is no use; ``m``
+    shingles stand in other nodes, too.
+    """
+    spread = nodes.join(texts.withColumnRenamed("doc_id", "id"), "id").mapInArrow(_spread, "id long, comp long, n long, h long")
+    spread = stored(spread, "near-spread")
+    seen = stored(spread.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-seen")
+    ranked = lookup(spread, "h", seen, ["df"], "inner", n="df").groupBy("id").agg(
+        F.first("comp").alias("comp"), F.first("n").alias("n"), F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")
+    )
+    first = F.expr(f"cast(greatest(0, n - ({percent} * n + 99) div 100 + 1 - (n - m)) as int)")
+    return ranked.select("id", "comp", "n", "m", F.explode(F.slice("shared", 1, first)).alias("s")).select("s.h", "id", "comp", F.col("comp").alias("first"), "n", "m")
 
-    def add(self, comp: int, s: np.ndarray):
-        self.comps.append(comp)
-        self.sets.append(s)
 
-    def overlaps(self, s: np.ndarray) -> np.ndarray:
-        if self.index is None:
-            every = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
-            order = np.argsort(every, kind="stable")
-            self.keys, at = np.unique(every[order], return_index=True)
-            self.edges, self.owner = np.append(at, len(every)), owner[order].astype(np.int32)
-            self.sizes, self.index = np.array([len(x) for x in self.sets]), True
-        place = np.searchsorted(self.keys, s)
-        place[place == len(self.keys)] = 0
-        hit = place[self.keys[place] == s] if len(self.keys) else place[:0]
-        low, n = self.edges[hit], self.edges[hit + 1] - self.edges[hit]
-        take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.owner[take], minlength=len(self.sets))
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of shingles that nodes of several components have."""
+    keys = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
+    return lookup(rows, "h", keys, ["low"], "inner", n="size").drop("low")
 
 
-def _blocks(percent: int):
-    """Rows sorted by (g, salt, role): a block's documents first, then all members of the group."""
-
-    def run(batches):
-        at, block, seen = None, _Block(), _Joined()
-        for batch in (part for whole in batches for part in row_groups(whole)):
-            sets = shingle_sets(batch.column("text").to_pylist())
-            out = []
-            for g, salt, role, comp, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "role", "comp")), sets):
-                if at != (g, salt):
-                    at, block, seen = (g, salt), _Block(), _Joined()
-                if role == 0:
-                    block.add(comp, s)
-                elif block.sets:
-                    inter = block.overlaps(s)
-                    for i in np.flatnonzero(similar(inter, block.sizes, len(s), percent)).tolist():
-                        if seen.join(block.comps[i], comp):
-                            out.append((block.comps[i], comp))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
-
-    return run
+def residual_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components of ``nodes`` (id, comp) that the stars did not test.
 
+    Nodes that share a prefix shingle are compared with up to 16 of them, then with four times as
+    many, until all components are joined or every node has been compared with every other
+    that could be similar by its numbers.  Components are joined in between.
+    """
+    rows, centres, links = stored(_open(stored(prefixes(nodes, texts, percent), "near-ranked")), "near-prefix", free=True), 16, []
+    labels = nodes.select("id", F.col("comp").alias("c"))
+    while rows.limit(1).count():
+        part = rows.withColumn("k", F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres)))
+        least = stored(part.groupBy("h", "k").agg(F.min_by(F.struct("id", "comp", "n", "m"), "id").alias("c"), F.count("*").alias("size")), "near-centres")
+        most = F.least(F.col("c.m"), F.col("m"))  # of common shingles
+        able = ((100 + percent) * most >= percent * (F.col("c.n") + F.col("n"))) & (F.col("c.comp") != F.col("comp"))
+        pairs = rows.join(least.select(F.col("h").alias("g"), "c"), F.col("h") == F.col("g")).where(able).select(F.least("c.id", "id").alias("u"), F.greatest("c.id", "id").alias("v"))
+        pairs = stored(pairs.distinct(), "near-tried")
+        found = stored(confirm_stars(pairs, texts, percent), "near-residual", free=True).select(F.col("u").alias("id"), "v")
+        found = lookup(found, "id", labels, ["c"], "inner").select(F.col("c").alias("u"), F.col("v").alias("id"))
+        links.append(stored(lookup(found, "id", labels, ["c"], "inner").select("u", F.col("c").alias("v")).distinct(), "near-joining"))
+        if not least.where("size > 1").limit(1).count():
+            break
+        merged = stored(components(_union(links)).withColumnRenamed("id", "first"), "near-merged")
+        rows = lookup(rows.drop("comp"), "first", merged, ["component"]).withColumn("comp", F.coalesce("component", "first")).drop("component")
+        rows, centres = stored(_open(stored(rows, "near-relabelled")), "near-prefix", free=True), centres * 4
+    return _union(links) if links else nodes.select(F.col("comp").alias("u"), F.col("comp").alias("v")).limit(0)
 
-def cross_links(nodes: DataFrame, texts: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Links (u, v) between components of the same group that the stars did not test.
 
-    ``nodes`` has id, comp and g.  Blocks of ``block`` documents from outside a group's largest
-    component are compared with every member of the group.
-    """
-    sizes = stored(nodes.groupBy("g", "comp").agg(F.count("*").alias("n")), "near-groups")
-    groups = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > 2")
-    groups = groups.withColumn("salts", F.ceil((F.col("all") - F.col("most")) / block).cast("int"))
-    inside = nodes.join(groups, "g")
-    mine = inside.where("comp <> major").select("g", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "id", "comp")
-    every = inside.select("g", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(1).alias("role"), "id", "comp")
-    rows = mine.unionByName(every).join(texts.withColumnRenamed("doc_id", "id"), "id").select("g", "salt", "role", "id", "comp", "text")
-    return _dealt(rows, ["g", "salt"]).mapInArrow(_blocks(percent), "u long, v long")
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -266,31 +255,35 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
     """
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_sign(percent), SIGNED), "near-signed")
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    known = stored(signed.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-classes")
+    signed = docs.select("doc_id", "text").mapInArrow(_sign(percent), SIGNED)
+    signed = stored(signed.withColumn("set_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id"))), "near-signed")
+    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    known = lookup(signed, "set_id", stored(classes, "near-sets"), ["rep"], n="n")
+    known = stored(known.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("bands")).alias("bands")), "near-classes")
     keyed = known.select("doc_id", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top").select("key", "u")
-    edges = stored(keyed.join(stars, "key").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), "near-edges")
+    stars = keyed.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("u < top")
+    edges = lookup(keyed, "key", stored(stars, "near-stars"), ["u"], "inner", n="n").where("doc_id <> u")
+    edges = stored(edges.select("u", F.col("doc_id").alias("v")).distinct(), "near-edges", free=True)
     wanted = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
     # the ids grow with the corpus, so they are merged with it at every size, never broadcast
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = stored(texts, "near-texts")
-    links = stored(confirm_stars(edges, texts, percent), "near-links")
+    links = stored(confirm_stars(edges, texts, percent), "near-links", free=True)
     first = stored(components(links), "near-first")
 
-    def label(ids: DataFrame, col: str, to: str) -> DataFrame:
-        marks = first.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
-        return ids.join(marks, F.col(col) == F.col("_i"), "left").withColumn(to, F.coalesce("_c", col)).drop("_i", "_c")
+    def label(rows: DataFrame, col: str, to: str, marks: DataFrame) -> DataFrame:
+        marks = marks.select(F.col("id").alias(col), F.col("component").alias("_c"))
+        return lookup(rows, col, marks, ["_c"]).withColumn(to, F.coalesce("_c", col)).drop("_c")
 
-    open_pairs = label(label(edges, "u", "cu"), "v", "cv").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    groups = stored(components(open_pairs), "near-open")
-    nodes = label(wanted, "id", "comp").join(groups.select(F.col("id").alias("comp"), F.col("component").alias("g")), "comp")
-    more = components(stored(cross_links(nodes, texts, percent), "near-more"))
-    final = label(known.select("doc_id", "n_shingles", "rep"), "rep", "comp")
-    final = final.join(more.select(F.col("id").alias("comp"), F.col("component").alias("c2")), "comp", "left")
-    out = F.coalesce("c2", "comp")
-    return final.select("doc_id", "n_shingles", out.alias("component_id"), (F.col("doc_id") == out).alias("kept"))
+    pairs = stored(label(label(edges, "u", "cu", first), "v", "cv", first), "near-pairs")
+    failed = pairs.where("cu <> cv").groupBy("u").agg(F.lit(True).alias("failed"))
+    open_ = lookup(pairs, "u", stored(failed, "near-failed"), ["failed"], "inner")
+    nodes = stored(open_.select(F.col("u").alias("id"), F.col("cu").alias("comp")).union(open_.select("v", "cv")).distinct(), "near-open")
+    final = label(known.select("doc_id", "n_shingles", "rep"), "rep", "component_id", first)
+    if nodes.limit(1).count():
+        more = stored(components(residual_links(nodes, texts, percent)), "near-more", free=True)
+        final = label(final.withColumnRenamed("component_id", "comp"), "comp", "component_id", more)
+    return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -298,7 +291,8 @@ def deduplicate(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
     Rows without an id cannot be told apart and stay; of rows that share an id one stays.
     """
-    gone = stored(near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone", free=True)
-    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = stored(gone, "near-gone", free=True)
+    left = docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"])) if again else left

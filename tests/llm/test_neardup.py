@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from sheaf.llm import neardup
+from sheaf.llm import common, neardup
 from sheaf.llm.components import components
 from tests.llm.conftest import SCHEMA
 
@@ -79,6 +81,51 @@ def test_links_from_80(spark):
     assert {r["doc_id"] for r in neardup.deduplicate(df, percent=80).collect()} == set(comp)
 
 
+@pytest.mark.parametrize("shares", [1000, 3])
+def test_loosely_similar_group(spark, monkeypatch, shares):
+    """Texts with a common part of three quarters, of which few pairs are linked, and by leaves only;
+    with few shares, the hot keys are taken by broadcast."""
+    monkeypatch.setattr(common, "SHARES", shares)
+    rng = random.Random(21)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    base, pool, texts = fresh(120), [fresh(30) for _ in range(12)], []
+    for _ in range(400):
+        tail = edited(rng, rng.choice(pool), rng.randrange(0, 5))
+        texts.append(" ".join(edited(rng, base, rng.randrange(0, 2)) + tail))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    comp, _ = brute(texts)
+    assert 12 <= len(set(comp)) < 400
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(texts))] == comp
+
+
+def test_residual_links_alone(spark):
+    """The second search finds all links without any star."""
+    rng, texts = random.Random(5), []
+    for _ in range(40):
+        base = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(8, 120))]
+        texts += [" ".join(edited(rng, base, rng.randrange(0, 4))) for _ in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))
+    found = {r["id"]: r["component"] for r in components(neardup.residual_links(nodes, df, 85)).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == brute(texts)[0]
+
+
+def test_recall_on_small_sets():
+    """Pairs at or a little above the threshold with 6 to 30 shingles, where nearly all bins borrow."""
+    rng, donors, missed, pairs = np.random.default_rng(7), neardup._donors(), 0, 0
+    for n in range(6, 31):
+        for _ in range(120):
+            union = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+            lost = n * 15 // 100  # of n in the union
+            if not lost:
+                continue
+            a, b = np.unique(union[lost // 2 :]), np.unique(np.delete(union, np.arange(lost // 2, lost)))
+            keys = neardup.band_keys(neardup.signatures([a, b], donors))
+            pairs, missed = pairs + 1, missed + (not (keys[0] == keys[1]).any())
+    assert pairs > 2_500 and missed <= 2
+
+
 def test_bands_follow_the_threshold():
     assert [(neardup.bands_for(p), neardup.least_for(p)) for p in (85, 80)] == [(36, 6), (63, 4)] and neardup.least_for(100) is None
 
