@@ -5,21 +5,21 @@ their least gram (the window's smallest hash of GRAM bytes, leftmost on ties).
 have equal grams, so equal windows always lie in runs of the same gram, and the corpus splits
 exactly by gram, whatever its size.
 
-* A gram with one run has no repeats.  A gram whose runs are all equal strings repeats whole.
-  Both are told by one pre-aggregated pass over (gram, run digest), without any text.
-* The other runs, each distinct string once, are gathered by gram.  Their strings are dealt to
-  shards; each shard gets its suffix order and its transform; the transforms are merged by
-  iterative interleave refinement: round h sorts all suffixes by h symbols by stably dealing the
-  interleave by the preceding symbols.  The round in which a boundary appears is the common
-  prefix, intervals without a boundary are the repeats; suffixes are never sorted again together.
+* A gram with one run has no repeats; that is told by counts of grams, without any text.
+* The other runs, each distinct string once with the number of its occurrences, are gathered by
+  gram.  Their strings are dealt to shards; each shard gets its suffix order and its transform; the
+  transforms are merged by iterative interleave refinement: round h sorts all suffixes by h symbols
+  by stably dealing the interleave by the preceding symbols.  The round in which a boundary appears
+  is the common prefix; intervals without a boundary, of strings that occur more than once in
+  all, are the repeats; suffixes are never sorted again together.
 * Symbols are blocks of ``STEP`` bytes, read at every offset, so 200 bytes take 200 / STEP rounds.
 * A gram with very many distinct runs is cut into pieces of PIECE window starts, gathered by the
   bytes that all windows of a piece share; equal windows still meet.
 
 Nulls and odd input: null and empty texts have no bytes; texts of under 200 bytes have no window;
 ties of the gram go to the leftmost; periodic texts repeat themselves and are found within one
-document; repeated rows and equal texts remove each other from 200 bytes on.  Extra columns are
-ignored.
+document; repeated rows and equal texts remove each other from 200 bytes on; long texts are hashed
+in stretches that overlap by a window.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored, workers
-from sheaf.llm.wordpos import groups_of, prefix_sums, range_hash
+from sheaf.llm.common import lookup, stored, workers
+from sheaf.llm.wordpos import SPAN, prefix_sums, range_hash, row_groups
 
 WINDOW, GRAM, STEP = 200, 40, 25
 PIECE, MANY = 16, 2_000
 _AT = np.uint64(23)
-_PLACES = 1 << 22
 
 
 def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,22 +45,20 @@ def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"\0".join(raws) + bytes(WINDOW + 1), np.uint8), begin, size
 
 
-def _least_places(h: np.ndarray, span: int, places: int = _PLACES) -> np.ndarray:
+def _least_places(h: np.ndarray, span: int) -> np.ndarray:
     """For each stretch of ``span`` hashes, where its least one stands (leftmost on ties).
 
-    Taken in overlapping pieces of ``places`` stretches, so that a place within a piece fits the
-    low bits at any length; all pieces order the hashes by the same high bits.
+    A place takes the low bits, so there may be no more hashes than those can tell apart; all calls
+    order the hashes by the same high bits.
     """
-    out = np.zeros(max(0, len(h) - span + 1), np.int64)
-    for low in range(0, len(out), places):
-        part, width = h[low : low + places + span - 1], 1
-        least = (part >> _AT << _AT) | np.arange(len(part), dtype=np.uint64)
-        while width * 2 <= span:
-            least, width = np.minimum(least[:-width], least[width:]), width * 2
-        if width < span:
-            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        out[low : low + places] = (least & np.uint64((1 << int(_AT)) - 1)).astype(np.int64) + low
-    return out
+    if len(h) >> int(_AT):
+        raise ValueError("too many hashes at once")
+    least, width = (h >> _AT << _AT) | np.arange(len(h), dtype=np.uint64), 1
+    while width * 2 <= span:
+        least, width = np.minimum(least[:-width], least[width:]), width * 2
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    return (least & np.uint64((1 << int(_AT)) - 1)).astype(np.int64)
 
 
 def runs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -80,15 +77,32 @@ def runs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[new], h[chosen[new]].view(np.int64), range_hash(sums, start, start + many + WINDOW - 1).view(np.int64), start - begin[doc[new]], many, chosen[new] - start
 
 
-RUNS = "uid long, h long, c long, s int, n int, o int"
+def _stretches(texts: list[str | None], most: int = SPAN):
+    """Groups of (text number, offset, bytes): texts in stretches of ``most`` window starts."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(raw) - WINDOW + 1), most):
+            part = raw[at : at + most + WINDOW - 1]
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+RUNS = "uid long, v int, h long, c long, s int, n int, o int"
 
 
 def _run_batches(batches):
-    for batch in batches:
-        uid, texts = batch.column("uid").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-        for part in groups_of(texts, 1_000_000):
-            doc, h, c, s, n, o = runs([(t or "").encode("utf-8", "surrogatepass") for t in texts[part]])
-            yield pa.RecordBatch.from_arrays([pa.array(uid[part][doc]), pa.array(h), pa.array(c), *[pa.array(x.astype(np.int32)) for x in (s, n, o)]], ["uid", "h", "c", "s", "n", "o"])
+    for batch in (part for whole in batches for part in row_groups(whole)):
+        uid, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("uid", "v"))
+        for held in _stretches(batch.column("text").to_pylist()):
+            part, h, c, s, n, o = runs([raw for _, _, raw in held])
+            doc, at = np.array([i for i, _, _ in held])[part], np.array([a for _, a, _ in held])[part]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[doc]), pa.array(v[doc]), pa.array(h), pa.array(c), *[pa.array(x.astype(np.int32)) for x in (s + at, n, o)]], ["uid", "v", "h", "c", "s", "n", "o"])
 
 
 # --- transforms -------------------------------------------------------------------------------
@@ -165,8 +179,11 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     return turn, lcp
 
 
-def repeated_windows(raws: list[bytes], *, window: int = WINDOW, step: int = STEP, shards: int = 4) -> list[np.ndarray]:
-    """For each string, which of its windows occur at two places of the strings at least."""
+def repeated_windows(raws: list[bytes], *, times: list[int] | None = None, window: int = WINDOW, step: int = STEP, shards: int = 4) -> list[np.ndarray]:
+    """For each string, which of its windows occur at two places of the strings at least.
+
+    ``times`` has how often each string stands in the corpus, once by default.
+    """
     rounds = window // step
     if rounds * step != window:
         raise ValueError("step must divide window")
@@ -190,7 +207,8 @@ def repeated_windows(raws: list[bytes], *, window: int = WINDOW, step: int = STE
     size = np.array([len(r) for r in held], np.int64)
     starts = inner <= size[owner] - window
     own = group[element[starts]]
-    many = np.bincount(own, minlength=int(interval[-1]) + 1)[own] > 1
+    weight = np.ones(len(raws)) if times is None else np.array(times, np.float64)
+    many = np.bincount(own, weight[long][owner[starts]], minlength=int(interval[-1]) + 1)[own] > 1
     for i, part in zip(long, np.split(many, np.cumsum(size - window + 1)[:-1])):
         out[i] = part
     return out
@@ -201,42 +219,43 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-FOUND = "h long, c long, low int, high int"
+FOUND = "h long, c long, times long, low int, high int"
 
 
 def _repeat_batches(most: int):
     def work(rows):
-        found = repeated_windows([r[4] for r in rows])
-        hits = [(h, c, at + a, at + b) for (_, h, c, at, _), flags in zip(rows, found) for a, b in _spans(flags)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in hits], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "c", "low", "high"])
+        found = repeated_windows([r[5] for r in rows], times=[r[3] for r in rows])
+        hits = [(h, c, t, at + a, at + b) for (_, h, c, t, at, _), flags in zip(rows, found) for a, b in _spans(flags)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in hits], k) for i, k in enumerate(kinds)], ["h", "c", "times", "low", "high"])
 
     def run(batches):
         rows, size = [], 0  # whole groups only; rows come sorted by g
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("g", "h", "c", "at", "body"))):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("g", "h", "c", "times", "at", "body"))):
                 if size >= most and row[0] != rows[-1][0]:
                     yield work(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if rows:
             yield work(rows)
 
     return run
 
 
-CUT = "g long, h long, c long, at int, body binary"
+CUT = "g long, h long, c long, times long, at int, body binary"
 
 
 def _cut_batches(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_groups(whole)):
         rows = []
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             for cut in cuts:
-                h, c, s, n, o = (cut[k] for k in ("h", "c", "s", "n", "o"))
+                h, c, t, s, n, o = (cut[k] for k in ("h", "c", "times", "s", "n", "o"))
                 if not cut["many"]:
-                    rows.append((h, h, c, 0, raw[s : s + n + WINDOW - 1]))
+                    rows.append((h, h, c, t, 0, raw[s : s + n + WINDOW - 1]))
                     continue
                 # pieces of window starts with the same place relative to the gram, so that equal windows share a piece
                 lead = (WINDOW - GRAM - o) % PIECE
@@ -246,11 +265,11 @@ def _cut_batches(batches):
                     whole = low - (lead + low) % PIECE  # where the full piece would start
                     core = raw[s + whole + PIECE - 1 : s + whole + WINDOW]
                     key = int.from_bytes(hashlib.blake2b(core + h.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, h, c, low, raw[s + low : s + high + WINDOW - 1]))
+                    rows.append((key, h, c, t, low, raw[s + low : s + high + WINDOW - 1]))
                     low = high
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 20_000]], k) for i, k in enumerate(kinds)], ["g", "h", "c", "at", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 20_000]], k) for i, k in enumerate(kinds)], ["g", "h", "c", "times", "at", "body"])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start long, end long>>"
@@ -258,7 +277,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def _remove(batches):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_groups(whole)):
         cols: list[list] = [[], [], [], [], []]
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -280,27 +299,32 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 1_000_000) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans."""
-    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    every = base.select("uid", "text").mapInArrow(_run_batches, RUNS)
-    grams = every.groupBy("h").agg(F.count("*").alias("seen"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("seen > 1")
-    grams = stored(grams.select(F.col("h").alias("k"), (F.col("c0") != F.col("c1")).alias("mixed")), "repeat-grams", free=True)
-    shared = stored(every.join(grams, F.col("h") == F.col("k")).drop("k"), "repeat-runs", free=True)
-    alike = shared.where("not mixed").select("uid", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") + WINDOW - 1).cast("long").alias("b"))
-    mixed = shared.where("mixed")
-    distinct = mixed.groupBy("h", "c").agg(F.count("*").alias("seen"), F.min(F.struct("uid", "s", "n", "o")).alias("r"))
+def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 60_000) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans.
+
+    Rows are told apart by 96 bits of hashes of id and text; rows that are equal in both get
+    equal spans, as they should.
+    """
+    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), F.hash("doc_id", "text").alias("v"))
+    every = stored(base.select("uid", "v", "text").mapInArrow(_run_batches, RUNS), "repeat-runs")
+    grams = stored(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1"), "repeat-grams")
+    shared = stored(lookup(every, "h", grams, ["seen"], "inner", n="seen").drop("seen"), "repeat-shared")
+    del every, grams
+    distinct = shared.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("uid", "v", "s", "n", "o")).alias("r"))
     distinct = stored(distinct, "repeat-distinct", free=True)
-    crowded = distinct.groupBy(F.col("h").alias("k")).agg(F.count("*").alias("variants")).where(F.col("variants") > MANY)
-    cuts = distinct.join(crowded, F.col("h") == F.col("k"), "left").select("r.uid", F.struct("h", "c", "r.s", "r.n", "r.o", F.col("k").isNotNull().alias("many")).alias("cut"))
-    cuts = cuts.groupBy("uid").agg(F.collect_list("cut").alias("cuts"))
-    one = base.select(F.col("uid").alias("u"), "text")
-    bodies = one.join(cuts, F.col("u") == F.col("uid")).dropDuplicates(["uid"]).select("text", "cuts").mapInArrow(_cut_batches, CUT)
+    crowded = stored(distinct.groupBy("h").agg(F.count("*").alias("variants")).where(F.col("variants") > MANY), "repeat-crowded")
+    cuts = lookup(distinct, "h", crowded, ["variants"], n="variants")
+    cuts = cuts.select("r.uid", "r.v", F.struct("h", "c", "times", "r.s", "r.n", "r.o", F.col("variants").isNotNull().alias("many")).alias("cut"))
+    cuts = cuts.groupBy(F.col("uid").alias("u_"), F.col("v").alias("v_")).agg(F.collect_list("cut").alias("cuts"))
+    mine = (F.col("uid") == F.col("u_")) & (F.col("v") == F.col("v_"))
+    bodies = base.join(cuts, mine).dropDuplicates(["uid", "v"]).select("text", "cuts").mapInArrow(_cut_batches, CUT)
     bodies = stored(bodies, "repeat-bodies", free=True)
-    merged = bodies.repartition(workers(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_repeat_batches(chunk_bytes), FOUND)
-    twice = distinct.where("seen > 1").select("h", "c", F.lit(0).alias("low"), F.col("r.n").alias("high"))
-    found = stored(merged.union(twice), "repeat-found", free=True)
-    places = mixed.join(found.select(F.col("h").alias("k"), F.col("c").alias("kc"), "low", "high"), (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")))
-    places = places.select("uid", (F.col("s") + F.col("low")).cast("long").alias("a"), (F.col("s") + F.col("high") + WINDOW - 1).cast("long").alias("b"))
-    spans = stored(alike.union(places).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans", free=True)
-    return base.join(spans.withColumnRenamed("uid", "u"), F.col("uid") == F.col("u"), "left").select("doc_id", "text", "spans").mapInArrow(_remove, OUT)
+    found = bodies.repartition(workers(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_repeat_batches(chunk_bytes), FOUND)
+    found = found.groupBy("h", "c").agg(F.max("times").alias("times"), F.collect_list(F.struct("low", "high")).alias("parts"))
+    found = stored(found, "repeat-found", free=True)
+    del bodies
+    places = lookup(shared, ["h", "c"], found, ["parts"], "inner", n="times")
+    moved = F.transform("parts", lambda p: F.struct((F.col("s") + p["low"]).cast("long").alias("a"), (F.col("s") + p["high"] + WINDOW - 1).cast("long").alias("b")))
+    spans = places.groupBy(F.col("uid").alias("u_"), F.col("v").alias("v_")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    spans = stored(spans, "repeat-spans", free=True)
+    return base.join(spans, mine, "left").select("doc_id", "text", "spans").mapInArrow(_remove, OUT)

@@ -81,22 +81,43 @@ def test_documents(spark, monkeypatch, many):
     assert [out[i] for i in range(len(texts))] == removal(texts)
 
 
-def test_passage_beyond_8_mib(spark):
+@pytest.mark.parametrize("far", [8_388_608, 20_000_000])
+def test_passage_far_into_a_text(spark, far):
     rng = np.random.default_rng(5)
     text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
-    shared, far = text(450), 8_388_608
+    shared = text(450)
     texts = [text(far - 300) + shared + text(700) + shared[:230] + text(50), text(100) + shared + text(30)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     out = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in repeats.remove_repeats(df).collect()}
     assert out == {0: [(far - 300, far + 150), (far + 850, far + 1080)], 1: [(100, 550)]}
 
 
-def test_least_places_in_pieces():
+def test_least_places():
     h = np.random.default_rng(6).integers(0, 40, 300).astype(np.uint64) << np.uint64(50)
     for span in (1, 7, 161):
-        whole = [i + int(np.argmin(h[i : i + span])) for i in range(len(h) - span + 1)]
-        for places in (1, 16, 1000):
-            assert repeats._least_places(h, span, places).tolist() == whole
+        assert repeats._least_places(h, span).tolist() == [i + int(np.argmin(h[i : i + span])) for i in range(len(h) - span + 1)]
+
+
+def test_occurrences_count():
+    raws = [b"abcdefgh", b"xbcdefgz"]
+    assert [f.tolist() for f in repeats.repeated_windows(raws, times=[1, 1], window=6, step=2)] == [[False, True, False], [False, True, False]]
+    assert [f.tolist() for f in repeats.repeated_windows(raws, times=[3, 1], window=6, step=2)] == [[True] * 3, [False, True, False]]
+
+
+@pytest.mark.parametrize("most", [64, 300, 1_000])
+def test_stretches_change_nothing(most):
+    """The windows of a text, whatever the stretches: each once, with the same gram."""
+    rng = random.Random(most)
+    text = "".join(rng.choices("abc é", k=2_500))
+    windows = {}
+    for held in repeats._stretches([None, text, "ab" * 150, ""], most):
+        part, h, _, s, n, _ = repeats.runs([raw for _, _, raw in held])
+        for p, g, first, many in zip(part.tolist(), h.tolist(), s.tolist(), n.tolist()):
+            for w in range(first, first + many):
+                assert windows.setdefault((held[p][0], held[p][1] + w), g) == g
+    assert sorted(windows) == [(1, i) for i in range(len(text.encode()) - 199)] + [(2, i) for i in range(101)]
+    whole = repeats.runs([text.encode()])
+    assert all(windows[1, s + i] == h for _, h, _, s, n, _ in zip(*(x.tolist() for x in whole)) for i in range(n))
 
 
 def test_odd(spark, odd, empty):
