@@ -1,15 +1,19 @@
 """K-d tree sharding: leaves of near equal bytes over document metadata.
 
+The axes are source, language (the ranks of their distinct values) and size (logarithmic).
 Documents with equal texts are one point, at the smallest source and language of the group.  A
-node is split along its widest dimension at the weighted median, found from distributed
-histograms: first over the dimension's steps, then, among points on the median step, over finer
-and finer ranges of a hash of the text.  All nodes of a level share each histogram pass, so a
-tree of 16 leaves takes four levels whatever the size of the corpus.  Only histograms (nodes x
-steps) reach the driver.
+node is split along its widest axis, as a share of the axis' whole width, at the weighted median,
+found from distributed histograms: first over the axis' steps, then, among points on the median
+step, over finer and finer ranges of a hash of the text.  All nodes of a level share each histogram
+pass, so a tree of 16 leaves takes four levels whatever the size of the corpus.  Only histograms
+(nodes x steps) reach the driver, and the tree is a handful of cuts: every row finds its leaf by an
+expression.  Texts are dealt once, when the rows of a shard are numbered.
 
 Nulls and odd input: a null text has 0 bytes (size 1); null sources and languages are steps of
 their own; repeated rows and equal texts stay in one shard, as far as a group's own weight
-allows sizes to be equal.  An empty table gives an empty result.  Extra columns are ignored.
+allows sizes to be equal; rows that tie in all of id, text, source and language are numbered in any
+order.  Texts whose 64-bit hashes are equal count as equal.  An empty table gives an empty result.
+Extra columns are ignored, or carried along if named.
 """
 
 from __future__ import annotations
@@ -21,26 +25,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.common import stored
+from sheaf.llm.common import lookup, stored
 
 STEPS = 1024
 FINE = 1024
 HASH_BITS = 60
 DIMS = ("d_source", "d_lang", "d_size")
+#: Values of an axis that have a rank of their own (those of most bytes); others are placed by hash.
+RANKED = 1_000
+CHUNK_ROWS = 50_000
 
 
 def doc_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _points(sized: DataFrame) -> DataFrame:
-    """One row per distinct text: weight, metadata steps and the splitting hash."""
-    groups = sized.groupBy("h", "h2").agg(F.sum("size").alias("w"), F.max("size").alias("one"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    step = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(STEPS - 1)) + 1, F.lit(0))
-    named = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(step(c)).cast("int")
-    size = F.least(F.lit(STEPS - 1), F.floor(F.log2(F.col("one").cast("double")) * 16)).cast("int")
-    tie = F.shiftrightunsigned(F.xxhash64("h", "h2", F.lit(5)), 64 - HASH_BITS)
-    return groups.select("h", "h2", "w", named("source").alias("d_source"), named("lang").alias("d_lang"), size.alias("d_size"), tie.alias("tie"))
+def _axis(points: DataFrame, column: str) -> DataFrame:
+    """(value, step) for the values of most weight, at most RANKED, spread evenly in their order."""
+    top = [r[column] for r in points.groupBy(column).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), column).limit(RANKED).collect()]
+    top = sorted(top, key=lambda v: (v is not None, v))
+    rows = [(v, i * (STEPS - 1) // max(1, len(top) - 1)) for i, v in enumerate(top)]
+    return points.sparkSession.createDataFrame(rows, f"value {points.schema[column].dataType.simpleString()}, step int")
+
+
+class Space:
+    """The axes of a table, and the cuts of the tree over them."""
+
+    def __init__(self, points: DataFrame):
+        self.axes = {c: _axis(points, c) for c in ("source", "lang")}
+        self.cuts: list[dict[int, tuple[str, int, int]]] = []
+
+    def steps(self, df: DataFrame) -> DataFrame:
+        """Add the steps of ``df`` (source, lang, size, h), and the hash that splits within a step."""
+        for c, axis in self.axes.items():
+            # at most RANKED rows
+            df = df.join(F.broadcast(axis.withColumnRenamed("value", "v_")), df[c].eqNullSafe(F.col("v_")), "left").drop("v_")
+            df = df.withColumn(f"d_{c}", F.coalesce("step", F.pmod(F.xxhash64(c), F.lit(STEPS)).cast("int"))).drop("step")
+        size = F.least(F.lit(STEPS - 1), F.floor(F.log2(F.col("size").cast("double")) * 16)).cast("int")
+        return df.withColumns({"d_size": size, "tie": F.shiftrightunsigned(F.xxhash64("h", F.lit(5)), 64 - HASH_BITS)})
+
+    def leaf(self) -> Column:
+        """The leaf of a row with steps, by the cuts made so far.
+
+        The cuts are arrays over the nodes of all levels (root 1, children 2n and 2n + 1), and a
+        row's way down is a fold over the levels.
+        """
+        levels = len(self.cuts)
+        flat = {(1 << i) + n: cut for i, cuts in enumerate(self.cuts) for n, cut in cuts.items()}
+        entry = lambda k, kind, other: F.array(*[F.lit(flat[n][k] if n in flat else other).cast(kind) for n in range(1, 1 << levels)])
+        if not levels:
+            return F.lit(0)
+        axes, steps, ties = F.array(*[F.lit(DIMS.index(flat[n][0]) + 1 if n in flat else 1) for n in range(1, 1 << levels)]), entry(1, "int", 0), entry(2, "long", 0)
+        values = F.array(*DIMS)
+
+        def down(node: Column, _: Column) -> Column:
+            value, step = F.element_at(values, F.element_at(axes, node)), F.element_at(steps, node)
+            upper = (value > step) | ((value == step) & (F.col("tie") >= F.element_at(ties, node)))
+            return node * 2 + upper.cast("int")
+
+        return (F.aggregate(F.array(*map(F.lit, range(levels))), F.lit(1), down) - (1 << levels)).cast("int")
 
 
 def _at_node(values: dict[int, object], kind: str) -> Column:
@@ -49,14 +92,18 @@ def _at_node(values: dict[int, object], kind: str) -> Column:
     return F.element_at(F.array(*[F.lit(values.get(i)).cast(kind) for i in range(top)]), F.col("node") + 1)
 
 
-def _split_level(points: DataFrame) -> dict[int, tuple[str, int, int]]:
-    """For each node: (dimension, step, tie) so that points below (step, tie) weigh about half."""
+def _split_level(points: DataFrame, whole: dict[str, int]) -> dict[int, tuple[str, int, int]]:
+    """For each node: (dimension, step, tie) so that points below (step, tie) weigh about half.
+
+    ``whole`` gets the width of each axis from the first level."""
     spread = points.groupBy("node").agg(F.sum("w").alias("w"), *[F.struct(F.min(d), F.max(d)).alias(d) for d in DIMS]).collect()
     if not spread:
         return {}
     width, half = {}, {}
+    if not whole:
+        whole.update({d: max(1, spread[0][d][1] - spread[0][d][0]) for d in DIMS})
     for r in spread:
-        wide = [(r[d][1] - r[d][0], -i, d) for i, d in enumerate(DIMS)]
+        wide = [((r[d][1] - r[d][0]) / whole[d], -i, d) for i, d in enumerate(DIMS)]
         width[r["node"]], half[r["node"]] = max(wide)[2], r["w"] / 2
     value = F.coalesce(*[F.when(_at_node({n: d == k for n, k in width.items()}, "boolean"), F.col(d)) for d in DIMS])
     at = points.withColumn("v", value).select("node", "v", "w", "tie")
@@ -99,21 +146,20 @@ def _median(hist: list[tuple[int, int]], half: float, below: int) -> tuple[int,
     return hist[-1][0], below - hist[-1][1]
 
 
-def kd_assign(points: DataFrame, leaves: int) -> DataFrame:
-    """Add ``shard`` (0 to leaves-1, a power of two) by recursive weighted-median splits."""
+def kd_tree(points: DataFrame, leaves: int) -> Space:
+    """A tree of ``leaves`` leaves (a power of two) by recursive weighted-median splits of points
+    (h, source, lang, size, w)."""
     levels = int(math.log2(leaves))
     if 1 << levels != leaves:
         raise ValueError("leaves must be a power of two")
-    points = points.withColumn("node", F.lit(0))
+    space, whole = Space(points), {}
+    at = stored(space.steps(points).select(*DIMS, "tie", "w"), "kd-points")
     for _ in range(levels):
-        splits = _split_level(points)
-        if not splits:
+        cuts = _split_level(at.withColumn("node", space.leaf()), whole)
+        if not cuts:
             break
-        value = F.coalesce(*[F.when(_at_node({n: s[0] == d for n, s in splits.items()}, "boolean"), F.col(d)) for d in DIMS])
-        step, tie = _at_node({n: s[1] for n, s in splits.items()}, "int"), _at_node({n: s[2] for n, s in splits.items()}, "long")
-        upper = (value > step) | ((value == step) & (F.col("tie") >= tie))
-        points = stored(points.withColumn("node", (F.col("node") * 2 + upper.cast("int")).cast("int")), "kd-level")
-    return points.withColumnRenamed("node", "shard")
+        space.cuts.append(cuts)
+    return space
 
 
 def leaves_for(total_bytes: int, target_bytes: int) -> int:
@@ -121,38 +167,46 @@ def leaves_for(total_bytes: int, target_bytes: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, total_bytes / target_bytes))))
 
 
-def slots(df: DataFrame, order: list[str], chunks: int = 64) -> DataFrame:
-    """Number the rows of each shard 0, 1, ... without passing a shard through one task.
-
-    Rows are numbered within (shard, chunk), where the chunk is a hash of the id, and shifted by
-    the rows of the chunks before; those counts are shards x chunks rows.
-    """
-    df = df.withColumn("chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    counts = df.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col("shard").alias("s_"), F.col("chunk").alias("c_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inner = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(*order))
-    df = df.withColumn("inner", inner).join(first, (F.col("shard") == F.col("s_")) & (F.col("chunk") == F.col("c_")))
-    return df.withColumn("slot", (F.col("first") + F.col("inner") - 1).cast("long")).drop("chunk", "inner", "first", "s_", "c_")
-
-
 def shard(docs: DataFrame, *, leaves: int | None = 16, target_bytes: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, lang, source, size, text_crc32, shard and slot.
 
     ``docs`` needs doc_id, text, lang and source; ``keep`` names columns to carry along (one
     that is named like a result becomes doc_<name>).  Give
     ``leaves``, or ``target_bytes`` and let the tree grow until a leaf reaches it.
+
+    Rows are numbered within (shard, chunk), where the chunk is a hash of the row, and shifted by
+    the rows of the shard's chunks before; there are as many chunks as the rows need.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(
+    every = docs.select(
         "doc_id", "lang", "source", doc_size(F.col("text")).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), F.struct(F.lit(0).alias("_"), *keep).alias("_kept"),
+        F.xxhash64("text").alias("h"), F.struct(F.lit(0).alias("_"), *keep).alias("_kept"),
     )
-    sized = stored(sized, "shard-sizes")
+    sized = stored(every.drop("_kept"), "shard-sizes")
     if leaves is None:
         leaves = leaves_for(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"], target_bytes)
-    tree = kd_assign(stored(_points(sized), "shard-points"), leaves).select(F.col("h").alias("g"), F.col("h2").alias("g2"), "shard")
-    placed = sized.join(tree, (F.col("h") == F.col("g")) & (F.col("h2") == F.col("g2"))).drop("g", "g2")
-    out = slots(placed, ["doc_id", "text_crc32", "source", "lang"]).drop("h", "h2")
-    own = [c for c in out.columns if c != "_kept"]
+    where = F.struct("source", "lang")
+    points = sized.groupBy("h").agg(F.sum("size").alias("w"), F.max("size").alias("size"), F.min(where).alias("low"), F.max(where).alias("high"), F.count("*").alias("n"))
+    points = stored(points.select("h", "w", "size", "n", "low.source", "low.lang", (~F.col("low").eqNullSafe(F.col("high"))).alias("spread")), "shard-points")
+    space = kd_tree(points, leaves)
+    moved = stored(points.where("spread").select("h", "n", F.struct("source", "lang").alias("at")), "shard-moved")
+    total = sized.count()
+    chunks = max(1, -(-total // (leaves * CHUNK_ROWS)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows with shard and chunk; copies whose metadata differ take those of their group."""
+        rows = lookup(rows, "h", moved, ["at"], n="n")
+        own = F.struct(F.coalesce("at", F.struct("source", "lang")).alias("at_"), F.col("source").alias("s_"), F.col("lang").alias("l_")).alias("own")
+        rows = rows.withColumn("own", own).withColumns({"source": F.col("own.at_.source"), "lang": F.col("own.at_.lang")})
+        rows = space.steps(rows).withColumn("shard", space.leaf()).withColumns({"source": F.col("own.s_"), "lang": F.col("own.l_")})
+        chunk = F.pmod(F.xxhash64("doc_id", "h", "source", "lang"), F.lit(chunks)).cast("int")
+        return rows.withColumn("chunk", chunk).drop("own", "at", "tie", *DIMS)
+
+    counts = placed(sized).groupBy("shard", "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = stored(counts.select(F.col("shard").alias("s_"), F.col("chunk").alias("c_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "shard-firsts")
+    inner = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "source", "lang"))
+    out = placed(every).withColumn("inner", inner).join(first, (F.col("shard") == F.col("s_")) & (F.col("chunk") == F.col("c_")))
+    out = out.withColumn("slot", (F.col("first") + F.col("inner") - 1).cast("long"))
+    own = ["doc_id", "lang", "source", "size", "text_crc32", "shard", "slot"]
     return out.select(*own, *[F.col(f"_kept.`{c}`").alias(f"doc_{c}" if c in own else c) for c in keep])
