@@ -25,10 +25,18 @@ places AS (SELECT d.doc_id, d.w, l.n, unnest(generate_series(1, len(d.w) - l.n +
 keyed AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM places),
 found AS (SELECT keyed.doc_id, keyed.n, keyed.p, windows.item_id FROM keyed JOIN windows ON keyed.n = windows.n AND keyed.k = windows.k),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM found)) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS t, unnest(generate_series(1, len(w))) AS p FROM words),
+often AS (SELECT t, count(*) AS n FROM pos GROUP BY t),
+terms AS (SELECT DISTINCT item_id, array_to_string(l, ' ') AS k, unnest(l) AS t, unnest(generate_series(1, len(l))) AS o FROM (SELECT item_id, w[p:p + n - 1] AS l FROM starts)),
+rare AS (SELECT item_id, k, first(terms.t ORDER BY coalesce(n, 0), o) AS t, count(DISTINCT terms.t) AS m FROM terms LEFT JOIN often ON terms.t = often.t GROUP BY item_id, k),
+homes AS (SELECT item_id, k, m, doc_id, p FROM rare JOIN pos ON pos.t = rare.t),
+round AS (SELECT homes.item_id, homes.doc_id, homes.k, homes.p, m, count(DISTINCT terms.t) AS c FROM homes JOIN terms ON terms.item_id = homes.item_id AND terms.k = homes.k
+  JOIN pos ON pos.doc_id = homes.doc_id AND pos.t = terms.t AND pos.p BETWEEN homes.p - 20 AND homes.p + 20 GROUP BY ALL),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM round WHERE c = m GROUP BY doc_id)
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id LEFT JOIN named ON words.doc_id = named.doc_id"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id LEFT JOIN named ON words.doc_id = named.doc_id LEFT JOIN near ON words.doc_id = near.doc_id"""
 
 NEAR = r"""
 WITH RECURSIVE words AS (
