@@ -1,7 +1,7 @@
 """Language identification by compression: one raw-content zstandard dictionary per language.
 
-Texts are lower-cased and everything but letters becomes single spaces.  A text is encoded once with each language's dictionary; the language whose dictionary makes it
-smallest wins.  Where the margin to the second is narrow, ``rejected`` is true (the prediction
+Texts are lower-cased and everything but letters becomes single spaces.  A text is encoded once
+with each language's dictionary; the language whose dictionary makes it smallest wins.  Where the margin to the second is narrow, ``rejected`` is true (the prediction
 stays, for callers that want one).
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; ties go to
@@ -18,8 +18,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheaf.llm.common import id_fold
+from sheaf.llm.wordpos import row_groups
 
 SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 LEVEL, MIN_MATCH = 9, 3
@@ -44,38 +46,34 @@ def coders(dictionaries: dict[str, bytes]) -> list:
     return out
 
 
-def learn_dictionaries(train: DataFrame, *, sample_docs: int = 120, piece_chars: int = 1_200, dict_bytes: int = 98_304, seed: int = 29) -> dict[str, bytes]:
-    """Raw dictionary content by language, from about ``sample_docs`` documents of each.
+def learn_dictionaries(train: DataFrame, *, sample_docs: int = 120, dict_bytes: int = 98_304, seed: int = 29) -> dict[str, bytes]:
+    """Raw dictionary content by language: whole texts of at most ``sample_docs`` documents.
 
-    A piece of at most ``piece_chars`` characters, at a place that a hash chooses, is taken from
-    each sampled document.  ``train`` has doc_id, text and lang.
+    A language's documents are taken in the order of a hash until they have ``dict_bytes``; the
+    last one is not cut.  ``train`` has doc_id, text and lang.
     """
-    train = train.where("lang is not null and text is not null")
+    train = train.where("lang is not null and text is not null").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1))
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, sample_docs / n)) + 1)])
-    h = F.xxhash64("doc_id", F.lit(seed))
-    at = F.pmod(h, F.greatest(F.lit(1), F.length("text") - piece_chars)) + 1
-    rows = train.where(F.pmod(h, F.lit(1_000_000)) < share[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", at.cast("int"), F.lit(piece_chars)).alias("piece")).collect()
+    wide = sample_docs + 4 * sample_docs**0.5  # so that hardly ever fewer are under the share
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 63) * min(1.0, wide / n)) - 1)])
+    some = train.where(F.col("h") <= share[F.col("lang")]).select("lang", "h", F.octet_length("text").cast("long").alias("size"))
+    order = Window.partitionBy("lang").orderBy("h")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = some.withColumns({"nth": F.row_number().over(order), "before": before}).where((F.col("nth") <= sample_docs) & (F.col("before") < dict_bytes))
+    picked = sorted({r["h"] for r in chosen.select("h").collect()})
+    rows = train.where(F.col("h").isin(picked)).select("lang", "h", "text").collect() if picked else []
     out = {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        pieces, n = [], 0
-        for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["piece"])):
-            raw = letters_only(r["piece"])
-            if n + len(raw) > dict_bytes:
-                break
-            pieces.append(raw)
-            n += len(raw)
-        if pieces:
-            out[lang] = b"".join(pieces)
-    return out
+        out[lang] = b"".join(letters_only(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"])))
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 def _predict(dictionaries: dict[str, bytes], narrow: float, least: int):
     def run(batches):
         langs, encode = list(dictionaries), coders(dictionaries)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_groups(whole)):
             rows = []
             for text in batch.column("text").to_pylist():
                 if not langs or not text or not any(map(str.isalpha, text)):
