@@ -31,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies, linked from a similarity of 0.85 on."""
+    """Keep the smallest id of each group of near copies, linked from a similarity of 0.8 on."""
     sweep(spark)
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
