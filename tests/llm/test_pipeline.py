@@ -30,7 +30,7 @@ def test_stages(spark):
             assert docs.columns == columns
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     before, after = seen["near_duplicates"]
-    assert ids(after) == {r["doc_id"] for r in neardup.near_duplicates(before).where("kept").collect()}
+    assert ids(after) == {r["doc_id"] for r in neardup.near_duplicates(before, percent=80).where("kept").collect()}
     before, after = seen["decontamination"]
     leaks = decontaminate.decontaminate(before, table(spark, SF, "benchmark"))
     assert ids(before) - ids(after) == {r["doc_id"] for r in leaks.where("contaminated").collect()}
