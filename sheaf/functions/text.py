@@ -33,6 +33,21 @@ def rate_mib(n: Column, seconds: Column) -> Column:
     return F.coalesce(F.try_divide(n / (1024.0 * 1024.0), seconds), F.lit(0.0))
 
 
+def plural(n: Column, one: str) -> Column:
+    """A count with its noun."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {one}s"))
+
+
+def truncated(value: Column, width: int) -> Column:
+    """At most ``width`` characters, the last one an ellipsis where something is left out."""
+    return F.when(F.length(value) <= width, value).otherwise(F.concat(F.substring(value, 1, width - 1), F.lit("\u2026")))
+
+
+def bar_cells(done: Column, total: Column, width: int) -> Column:
+    """Filled cells of a progress bar of ``width`` cells."""
+    return F.when(total > 0, F.least(F.floor(done * width / total), F.lit(width))).otherwise(width).cast("long")
+
+
 def report_line(line: Column) -> dict[str, Column]:
     """Fields of an invocation's REPORT log line; null where the line is none."""
     pick = lambda pattern, kind: F.when(line.contains("REPORT RequestId:"), F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).cast(kind))

@@ -56,6 +56,13 @@ def backoff_ms(attempt: Column, throttled: Column, policy: RetryPolicy = RetryPo
     return F.least(base * factor, most.cast("double")).cast("long")
 
 
+def delay_ms(attempt: int, throttled: bool, policy: RetryPolicy, chance: float) -> float:
+    """The same for one attempt, in plain Python, with jitter drawn from ``chance`` in [0, 1)."""
+    base, most = (policy.slow_base_ms, policy.slow_max_ms) if throttled else (policy.base_ms, policy.max_ms)
+    delay = min(base * 2 ** min(max(attempt - 1, 0), 62), most)
+    return chance * (delay + 1) // 1 if policy.jitter == "full" else delay
+
+
 def retry_delay_ms(attempt: Column, throttled: Column, policy: RetryPolicy = RetryPolicy()) -> Column:
     delay = backoff_ms(attempt, throttled, policy)
     return F.floor(F.rand() * (delay + 1)).cast("long") if policy.jitter == "full" else delay

@@ -110,6 +110,18 @@ def observed(operations: DataFrame, name: str = "progress") -> tuple[DataFrame,
     return operations.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *counts), seen
 
 
+#: Runs in the order in which a report shows them.
+RUNS = ("full", "update", "update_ignored")
+
+
+def bench_order(cases: DataFrame) -> DataFrame:
+    """Add ``place``: by memory, fixture, run and sample.  Cases are a configuration, thus few."""
+    from pyspark.sql.window import Window
+
+    run = F.coalesce(*[F.when(F.col("run") == r, i) for i, r in enumerate(RUNS)], F.lit(len(RUNS)))
+    return cases.withColumn("place", F.row_number().over(Window.orderBy("memory_mb", "fixture", run, "sample")).cast("long"))
+
+
 def markdown_table(df: DataFrame, order: list[str]) -> str:
     """A small aggregate as a Markdown table."""
     rows = [[("" if v is None else f"{v:g}" if isinstance(v, float) else str(v)) for v in r] for r in df.orderBy(*order).toLocalIterator()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,32 @@ def span_error(start: str, end: str, length: str, limit: str):
     )
 
 
+def _folded(archive: str, block_size: int, merge_gap: int):
+    """Greedy merges of sorted spans, one pass: the state is one open block."""
+
+    def run(batches):
+        at = start = end = None
+        kind = None
+        for batch in batches:
+            kind, out = batch.schema.field(archive).type, []
+            for row in zip(*(batch.column(c).to_pylist() for c in (archive, "island", "start", "end"))):
+                if at == row[:2] and row[2] - end <= merge_gap and max(end, row[3]) - start <= block_size:
+                    end = max(end, row[3])
+                    continue
+                if at is not None:
+                    out.append((at[0], start, end))
+                at, start, end = row[:2], row[2], row[3]
+            if out:
+                yield _spans(out, archive, kind)
+        if at is not None:
+            yield _spans([(at[0], start, end)], archive, kind)
+
+    def _spans(rows, name, kind):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.int64(), pa.int64()))], [name, "start", "end"])
+
+    return run
+
+
 def plan_blocks(spans: DataFrame, *, block_size: int = BLOCK_SIZE, merge_gap: int = MERGE_GAP, archive: str = "archive", length: str | None = None) -> DataFrame:
     """Blocks (archive, block_id, start, end inclusive) that cover the spans [start, end).
 
@@ -40,15 +67,9 @@ def plan_blocks(spans: DataFrame, *, block_size: int = BLOCK_SIZE, merge_gap: in
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = spans.withColumn("cut", (F.coalesce(F.col("start") > reach + merge_gap, F.lit(True))).cast("int"))
     islands = cut.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    held = islands.groupBy(archive, "island").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    pair = "struct<start:bigint,end:bigint>"
-    fold = f"""aggregate(spans, cast(array() as array<{pair}>), (acc, s) ->
-      CASE WHEN size(acc) > 0
-            AND s.start - element_at(acc, -1).end <= {merge_gap}
-            AND greatest(element_at(acc, -1).end, s.end) - element_at(acc, -1).start <= {block_size}
-           THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(element_at(acc, -1).end, s.end) AS end)))
-           ELSE concat(acc, array(struct(s.start AS start, s.end AS end))) END)"""
-    merged = held.select(archive, F.explode(F.expr(fold)).alias("m")).select(archive, "m.start", "m.end")
+    sorted_ = islands.repartition(archive, "island").sortWithinPartitions(archive, "island", "start", "end")
+    schema = islands.select(archive, "start", "end").schema
+    merged = sorted_.select(archive, "island", "start", "end").mapInArrow(_folded(archive, block_size, merge_gap), schema)
     pieces = merged.withColumn("at", F.explode(F.expr(f"sequence(start, end - 1, {block_size}L)")))
     blocks = pieces.select(archive, F.col("at").alias("start"), (F.least(F.col("at") + block_size, F.col("end")) - 1).alias("end"))
     return blocks.withColumn("block_id", F.row_number().over(order).cast("long")).select(archive, "block_id", "start", "end")

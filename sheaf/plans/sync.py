@@ -16,12 +16,13 @@ OPERATIONS = ("status", "key", "zip_path", "size", "md5", "destination_etag", "m
 
 
 def catalog_entries(catalog: DataFrame, catalog_path: str) -> DataFrame:
-    """(zip_path, catalog_md5) of a parsed catalog (version, entries): version 1 only, safe file
-    paths, MD5 digests, the last of duplicates."""
-    each = catalog.where("version = 1").select(F.posexplode("entries").alias("pos", "e")).select("pos", F.col("e.path").alias("raw"), normalize_etag(F.col("e.md5")).alias("md5"))
+    """(zip_path, catalog_md5) of parsed catalogs (version, entries): version 1 only, safe file
+    paths, MD5 digests, the last of duplicates.  With a column ``archive`` each archive has its own."""
+    keys = ["archive"] if "archive" in catalog.columns else []
+    each = catalog.where("version = 1").select(*keys, F.posexplode("entries").alias("pos", "e")).select(*keys, "pos", F.col("e.path").alias("raw"), normalize_etag(F.col("e.md5")).alias("md5"))
     path = normalized_path(F.col("raw"))
     kept = each.withColumn("zip_path", path).where(F.col("md5").isNotNull() & F.col("zip_path").isNotNull() & ~F.col("zip_path").endswith("/") & (F.col("zip_path") != catalog_path))
-    return kept.groupBy("zip_path").agg(F.max_by("md5", "pos").alias("catalog_md5"))
+    return kept.groupBy(*keys, "zip_path").agg(F.max_by("md5", "pos").alias("catalog_md5"))
 
 
 def join_catalog(manifest: DataFrame, catalog: DataFrame, keys: list[str] = ["zip_path"]) -> DataFrame:
@@ -144,7 +145,3 @@ def plan_local(manifest: DataFrame, existing: DataFrame, dry: bool = True) -> Da
     message = F.when(clash, "target exists and is of the other kind")
     return df.select((dry_status(status) if dry else status).alias("status"), "key", "zip_path", "size", F.col("catalog_md5").alias("md5"), F.lit(None).cast("string").alias("destination_etag"), message.alias("message"))
 
-
-def first_conflict(ops: DataFrame) -> DataFrame:
-    """The row that ends a fail-fast run: some conflict, if there is one."""
-    return ops.where(F.col("status") == "conditional_conflict").limit(1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf import live_queries
 from sheaf.functions import etags, paths, text, tuning
 from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, selection, spans
 from sheaf.plans import pack, sync
@@ -240,8 +241,10 @@ BLOCK, GAP = 16384, 2048
 
 
 def _needed(spark, sf_dir) -> DataFrame:
-    """Spans of the entries that need bytes: those not divisible by three."""
-    df = spans.span_ends(_spans(spark, sf_dir)).where("doc_id % 3 <> 0")
+    """Spans of the entries whose bytes the plan needs, to be hashed or uploaded."""
+    e = entries(spark, sf_dir)
+    plan = sync.classify(e, listing(spark, sf_dir), SyncOptions(prefix="site")).where("action in ('hash', 'upload')")
+    df = spans.span_ends(_spans(spark, sf_dir)).join(plan.select("key"), "key", "left_semi")
     return df.select("archive", "zip_path", F.col("header_offset").alias("start"), F.col("span_end").alias("end"))
 
 
@@ -263,7 +266,7 @@ def q_point_to_block(spark, sf_dir):
 
 _NEEDED = f"""{_SPANS},
 needed AS (SELECT archive, zip_path, header_offset AS start, end_ AS "end", row_number() OVER (PARTITION BY archive ORDER BY header_offset, end_) AS rn
-  FROM (SELECT *, coalesce(lead(header_offset) OVER (PARTITION BY archive ORDER BY header_offset), cd_start) AS end_ FROM spans) WHERE doc_id % 3 <> 0),
+  FROM (SELECT *, coalesce(lead(header_offset) OVER (PARTITION BY archive ORDER BY header_offset), cd_start) AS end_ FROM spans) WHERE 'site/' || zip_path IN (SELECT key FROM decided WHERE d IN ('upload_new', 'upload_changed', 'upload_hash', 'skip_hash'))),
 fold AS (
   SELECT archive, rn, start AS b0, "end" AS b1, CAST(1 AS BIGINT) AS block FROM needed WHERE rn = 1
   UNION ALL
@@ -411,6 +414,32 @@ _COUNT = lambda s, name: f"CAST(count(*) FILTER (status = '{s}') AS BIGINT) AS {
 _TOTALS = "(SELECT count(*) FROM entries) AS zip_files, (SELECT count(*) FROM listing) AS destination_objects"
 
 
+def _fixture_sql() -> str:
+    """The generated tree: places by a permutation, shares by whole-number largest remainders.
+
+    The permutation's step depends on the number of files only; SQL finds it as the operator does.
+    """
+    profiles = [(kind, n, p, suffix, w, name, folders) for kind in fixtures.PROFILES for n, (p, suffix, w, name, folders) in enumerate(fixtures.PROFILES[kind])]
+    rows = ", ".join(f"({k}, '{kind}', {share}, {n}, '{p}', '{suffix}', {w}, '{name}', {list(folders)})" for kind, n, p, suffix, w, name, folders in profiles for k, (name_, share) in enumerate(fixtures.KINDS) if name_ == kind)
+    return f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), step(s) AS (SELECT (2654435761 + 40503) % greatest(1, n) FROM n UNION ALL SELECT s + 1 FROM step, n WHERE gcd(s, n) <> 1),
+      prof(k, kind, kshare, o, profile, suffix, pw, name, folders) AS (VALUES {rows}),
+      k0 AS (SELECT DISTINCT k, kind, kshare, n * kshare AS raw FROM prof, n), k1 AS (SELECT *, floor(raw) AS f, row_number() OVER (ORDER BY raw - floor(raw) DESC, kshare DESC, k) AS r FROM k0),
+      k2 AS (SELECT k, CAST(f + CASE WHEN r <= (SELECT n FROM n) - (SELECT sum(f) FROM k1) THEN 1 ELSE 0 END AS BIGINT) AS kn FROM k1),
+      p0 AS (SELECT prof.*, kn, kn * pw / CAST(sum(pw) OVER (PARTITION BY k) AS DOUBLE) AS raw FROM prof JOIN k2 USING (k)),
+      p1 AS (SELECT *, floor(raw) AS f, row_number() OVER (PARTITION BY k ORDER BY raw - floor(raw) DESC, pw DESC, o) AS r, sum(floor(raw)) OVER (PARTITION BY k) AS fs FROM p0),
+      p2 AS (SELECT *, CAST(f + CASE WHEN r <= kn - fs THEN 1 ELSE 0 END AS BIGINT) AS m FROM p1),
+      p3 AS (SELECT *, CAST(sum(m) OVER (ORDER BY k, o) - m AS BIGINT) AS first FROM p2 WHERE m > 0),
+      i0 AS (SELECT unnest(range(0, n)) AS i, n FROM n),
+      i1 AS (SELECT i, n, (i * (SELECT max(s) FROM step) + 1) % n AS at, CAST(floor(least(pow((CAST('0x' || substr(md5('1:' || i), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE, -1 / {fixtures.SHAPE}::DOUBLE), {fixtures.MOST}) * 1000000) AS HUGEINT) AS w FROM i0),
+      i2 AS (SELECT *, w * (10000000 - n) AS pr, sum(w) OVER () AS ws FROM i1), i3 AS (SELECT *, pr // ws AS base, pr % ws AS rem FROM i2),
+      i4 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, w DESC, i) AS r, 10000000 - n - sum(base) OVER () AS rest FROM i3)
+      SELECT i, folders[CAST(CAST('0x' || substr(md5('1:folder:' || i), 1, 8) AS BIGINT) % len(folders) AS INTEGER) + 1] || '/' || name || '-' || lpad(CAST(i AS VARCHAR), 6, '0') || suffix AS path, kind, profile,
+      CAST(base + 1 + CASE WHEN i4.r <= rest THEN 1 ELSE 0 END AS BIGINT) AS size FROM i4 ASOF JOIN p3 ON i4.at >= p3.first"""
+
+
+_FIXTURE = _fixture_sql()
+
+
 def _globs() -> tuple[str, str]:
     """The two selections in SQL: last match of the path, then of its parents, nearest first."""
     both = """SELECT zip_path FROM entries WHERE CASE
@@ -449,9 +478,9 @@ SQL = {
     "q_selection_exclude_only": f"WITH {ENTRIES} {_globs()[1]}",
     "q_manifest_spans": f"""WITH {ENTRIES}, {_SPANS}, coarse AS (SELECT *, header_offset - header_offset % 4096 AS h FROM spans)
       SELECT archive, zip_path, h AS span_start, least(coalesce(min(h) OVER (PARTITION BY archive ORDER BY h RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), cd_start), cd_start) AS span_end FROM coarse""",
-    "q_block_plan": f'WITH RECURSIVE {ENTRIES}, {_NEEDED} SELECT archive, block_id, start, "end" FROM blocks',
-    "q_block_claims": f'WITH RECURSIVE {ENTRIES}, {_NEEDED} SELECT b.archive, b.block_id, count(n.archive) AS claims FROM blocks b LEFT JOIN needed n ON n.archive = b.archive AND b.start < n."end" AND n.start < b."end" + 1 GROUP BY b.archive, b.block_id',
-    "q_point_to_block": f"""WITH RECURSIVE {ENTRIES}, {_NEEDED}, points AS (SELECT archive, zip_path, header_offset + 30 AS "offset" FROM spans)
+    "q_block_plan": f'WITH RECURSIVE {ENTRIES}, {LISTING}, {_classified(False, False, True)}, {_NEEDED} SELECT archive, block_id, start, "end" FROM blocks',
+    "q_block_claims": f'WITH RECURSIVE {ENTRIES}, {LISTING}, {_classified(False, False, True)}, {_NEEDED} SELECT b.archive, b.block_id, count(n.archive) AS claims FROM blocks b LEFT JOIN needed n ON n.archive = b.archive AND b.start < n."end" AND n.start < b."end" + 1 GROUP BY b.archive, b.block_id',
+    "q_point_to_block": f"""WITH RECURSIVE {ENTRIES}, {LISTING}, {_classified(False, False, True)}, {_NEEDED}, points AS (SELECT archive, zip_path, header_offset + 30 AS "offset" FROM spans)
       SELECT p.archive, p.zip_path, p."offset", CASE WHEN b."end" >= p."offset" THEN b.block_id END AS block_id FROM points p ASOF LEFT JOIN blocks b ON p.archive = b.archive AND p."offset" >= b.start""",
     "q_interval_union": f"WITH {_GETS}, {_UNION.format('gets')} SELECT event_type, fetched_bytes, unique_bytes, round(fetched_bytes / unique_bytes, 6) AS source_amplification FROM fetched JOIN uniq USING (event_type)",
     "q_source_diagnostics": f"""WITH {_GETS}, good AS (SELECT * FROM gets WHERE ok), {_UNION.format('good')}, n AS (SELECT event_type, count(*) AS source_get_attempts, count(*) FILTER (attempt > 1) AS source_get_retries, count(*) FILTER (NOT ok) AS source_get_errors, count(*) FILTER (ok) AS fetched_blocks FROM gets GROUP BY event_type)
@@ -482,6 +511,7 @@ SQL = {
       SELECT corpus, 'zip_standard' AS storage_class, round(gib / 4 * 0.023 + n * 0.1 / 1000 * 0.0004, 3) AS usd_month FROM g UNION ALL SELECT corpus, 'standard', round(gib * 0.023 + n * 0.1 / 1000 * 0.0004, 3) FROM g
       UNION ALL SELECT corpus, 'standard_ia', round(billed * 0.0125 + n * 0.1 / 1000 * 0.001 + gib * 0.1 * 0.01, 3) FROM g UNION ALL SELECT corpus, 'intelligent_tiering', round(gib * 0.023 + n * 0.1 / 1000 * 0.0004 + CASE WHEN k >= 128 THEN n ELSE 0 END / 1000 * 0.0025, 3) FROM g
       UNION ALL SELECT corpus, 'glacier_instant', round(billed * 0.004 + n * 0.1 / 1000 * 0.01 + gib * 0.1 * 0.03, 3) FROM g""",
+    "q_generated_fixture": _FIXTURE,
     "q_zip_roundtrip": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, md5(html) AS md5 FROM pages",
     "q_parse_size": """WITH p AS (SELECT p_partkey, p_size, p_partkey % 7 AS u, CAST(p_size AS VARCHAR) || '.5' || ['', 'KB', 'KiB', 'MiB', 'k', 'GB', 'x'][p_partkey % 7 + 1] AS size_text FROM part)
       SELECT p_partkey, size_text, CAST(floor((p_size + 0.5) * CASE u WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 WHEN 4 THEN 1024 WHEN 5 THEN 1000000000 END) AS BIGINT) AS bytes FROM p""",
@@ -490,5 +520,8 @@ SQL = {
 }
 
 
+SQL |= live_queries.SQL
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("q_")}
+    return {name: f for name, f in globals().items() if name.startswith("q_")} | live_queries.queries()
