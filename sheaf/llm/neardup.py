@@ -6,10 +6,10 @@
    (optimal densification).  Groups of ``ROWS`` bins are bucket keys; ``bands_for`` gives how many.
 3. Within a bucket every class is paired with the smallest one only (a star), and the pairs are
    confirmed on full sets.  Confirmed pairs give the first components.
-4. A star loses pairs of leaves.  So all members of stars of which a link failed between two
-   components are compared by a second, exact search among them: sets that are similar share one of
-   their rarest shingles (a prefix filter).  Again only stars are emitted, in growing number.  No
-   bucket or group is capped.
+4. A star loses pairs of leaves.  So the members of stars of which a link failed between two
+   components are searched again, exactly: sets that are similar share one of their rarest shingles
+   (a prefix filter).  Of a group those outside its largest component are compared in blocks with
+   the others; only links that join components are emitted.  No bucket or group is capped.
 
 At the threshold a pair shares no bucket with a chance of about 1e-5, and less above.
 
@@ -167,7 +167,7 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(workers(rows.sparkSession), *keys).sortWithinPartitions(*keys, "role", "id")
 
 
-def confirm_stars(edges: DataFrame, texts: DataFrame, percent: int, members: int = 1024, share: int = 256) -> DataFrame:
+def confirm_stars(edges: DataFrame, texts: DataFrame, percent: int, members: int = 256, share: int = 256) -> DataFrame:
     """Edges (u, v) whose full sets are similar enough.
 
     A centre's text is sent once for each ``members`` of its members, so that no task gets a whole
@@ -194,7 +194,7 @@ def _spread(batches):
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(h, id, comp, first, n, m): the shingles of each node of which a similar node must have one.
+    """(h, id, comp, n, m): the shingles of each node of which a similar node must have one.
 
     A set's shingles are ordered by the number of nodes that have them.  Similar sets share one of
     the first n - ceil(n * percent / 100) + 1, and one that no other node has is no use; ``m``
@@ -207,7 +207,7 @@ def prefixes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         F.first("comp").alias("comp"), F.first("n").alias("n"), F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")
     )
     first = F.expr(f"cast(greatest(0, n - ({percent} * n + 99) div 100 + 1 - (n - m)) as int)")
-    return ranked.select("id", "comp", "n", "m", F.explode(F.slice("shared", 1, first)).alias("s")).select("s.h", "id", "comp", F.col("comp").alias("first"), "n", "m")
+    return ranked.select("id", "comp", "n", "m", F.explode(F.slice("shared", 1, first)).alias("s")).select("s.h", "id", "comp", "n", "m")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -216,38 +216,94 @@ def _open(rows: DataFrame) -> DataFrame:
     return lookup(rows, "h", keys, ["low"], "inner", n="size").drop("low")
 
 
-def residual_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components of ``nodes`` (id, comp) that the stars did not test.
+class _Joined:
+    """Union-find over the component labels that one block sees."""
 
-    Nodes that share a prefix shingle are compared with up to 16 of them, then with four times as
-    many, until all components are joined or every node has been compared with every other
-    that could be similar by its numbers.  Components are joined in between.
-    """
-    rows, centres, links = stored(_open(stored(prefixes(nodes, texts, percent), "near-ranked")), "near-prefix", free=True), 16, []
-    labels = nodes.select("id", F.col("comp").alias("c"))
-    while rows.limit(1).count():
-        part = rows.withColumn("k", F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres)))
-        least = stored(part.groupBy("h", "k").agg(F.min_by(F.struct("id", "comp", "n", "m"), "id").alias("c"), F.count("*").alias("size")), "near-centres")
-        most = F.least(F.col("c.m"), F.col("m"))  # of common shingles
-        able = ((100 + percent) * most >= percent * (F.col("c.n") + F.col("n"))) & (F.col("c.comp") != F.col("comp"))
-        pairs = rows.join(least.select(F.col("h").alias("g"), "c"), F.col("h") == F.col("g")).where(able).select(F.least("c.id", "id").alias("u"), F.greatest("c.id", "id").alias("v"))
-        pairs = stored(pairs.distinct(), "near-tried")
-        found = stored(confirm_stars(pairs, texts, percent), "near-residual", free=True).select(F.col("u").alias("id"), "v")
-        found = lookup(found, "id", labels, ["c"], "inner").select(F.col("c").alias("u"), F.col("v").alias("id"))
-        links.append(stored(lookup(found, "id", labels, ["c"], "inner").select("u", F.col("c").alias("v")).distinct(), "near-joining"))
-        if not least.where("size > 1").limit(1).count():
-            break
-        merged = stored(components(_union(links)).withColumnRenamed("id", "first"), "near-merged")
-        rows = lookup(rows.drop("comp"), "first", merged, ["component"]).withColumn("comp", F.coalesce("component", "first")).drop("component")
-        rows, centres = stored(_open(stored(rows, "near-relabelled")), "near-prefix", free=True), centres * 4
-    return _union(links) if links else nodes.select(F.col("comp").alias("u"), F.col("comp").alias("v")).limit(0)
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class _Block:
+    """The documents of one block, with an index from shingle to those that have it."""
+
+    def __init__(self):
+        self.comps, self.sets, self.index = [], [], None
+
+    def add(self, comp: int, s: np.ndarray):
+        self.comps.append(comp)
+        self.sets.append(s)
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        if self.index is None:
+            every = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            order = np.argsort(every, kind="stable")
+            self.keys, at = np.unique(every[order], return_index=True)
+            self.edges, self.owner = np.append(at, len(every)), owner[order].astype(np.int32)
+            self.sizes, self.index = np.array([len(x) for x in self.sets]), True
+        place = np.searchsorted(self.keys, s)
+        place[place == len(self.keys)] = 0
+        hit = place[self.keys[place] == s] if len(self.keys) else place[:0]
+        low, n = self.edges[hit], self.edges[hit + 1] - self.edges[hit]
+        take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[take], minlength=len(self.sets))
+
+
+def _blocks(percent: int):
+    """Rows sorted by (g, salt, role): a block's documents first, then all members of the group."""
+
+    def run(batches):
+        at, block, seen = None, _Block(), _Joined()
+        for batch in (part for whole in batches for part in row_groups(whole)):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            out = []
+            for g, salt, role, comp, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "role", "comp")), sets):
+                if at != (g, salt):
+                    at, block, seen = (g, salt), _Block(), _Joined()
+                if role == 0:
+                    block.add(comp, s)
+                elif block.sets:
+                    inter = block.overlaps(s)
+                    for i in np.flatnonzero(similar(inter, block.sizes, len(s), percent)).tolist():
+                        if seen.join(block.comps[i], comp):
+                            out.append((block.comps[i], comp))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def residual_links(nodes: DataFrame, texts: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (u, v) between components that the stars did not test; ``nodes`` has id, comp and g.
+
+    Only nodes that share a prefix shingle with a node of another component are compared.  Within a
+    group those outside its largest component are cut into blocks of ``block``; each block meets
+    every other node of the group, in one task that indexes the block and emits joining links only.
+    """
+    able = _open(stored(prefixes(nodes.select("id", "comp"), texts, percent), "near-ranked"))
+    least = able.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("size"))
+    able = lookup(able, "h", stored(least, "near-least"), ["least"], "inner", n="size").where((100 + percent) * F.col("m") >= percent * (F.col("n") + F.col("least")))
+    able = stored(able.select("id").distinct().withColumn("able", F.lit(True)), "near-able", free=True)
+    nodes = stored(lookup(nodes, "id", able, ["able"], "inner").select("id", "comp", "g"), "near-nodes")
+    sizes = nodes.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    groups = groups.withColumn("salts", F.ceil((F.col("all") - F.col("most")) / block).cast("int"))
+    inside = stored(lookup(nodes, "g", stored(groups, "near-groups"), ["major", "salts"], "inner", n="all"), "near-inside")
+    mine = inside.where("comp <> major").select("g", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "id", "comp")
+    every = inside.select("g", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(1).alias("role"), "id", "comp")
+    rows = mine.unionByName(every).join(texts.withColumnRenamed("doc_id", "id"), "id").select("g", "salt", "role", "id", "comp", "text")
+    return _dealt(rows, ["g", "salt"]).mapInArrow(_blocks(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -281,7 +337,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     nodes = stored(open_.select(F.col("u").alias("id"), F.col("cu").alias("comp")).union(open_.select("v", "cv")).distinct(), "near-open")
     final = label(known.select("doc_id", "n_shingles", "rep"), "rep", "component_id", first)
     if nodes.limit(1).count():
-        more = stored(components(residual_links(nodes, texts, percent)), "near-more", free=True)
+        between = pairs.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        groups = stored(components(between).withColumnRenamed("id", "comp"), "near-between")
+        nodes = lookup(nodes, "comp", groups, ["component"], "inner").withColumnRenamed("component", "g")
+        more = stored(components(stored(residual_links(nodes, texts, percent), "near-residual", free=True)), "near-more", free=True)
         final = label(final.withColumnRenamed("component_id", "comp"), "comp", "component_id", more)
     return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
