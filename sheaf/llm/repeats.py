@@ -14,7 +14,7 @@ exactly by gram, whatever its size.
   all, are the repeats; suffixes are never sorted again together.
 * Symbols are blocks of ``STEP`` bytes, read at every offset, so 200 bytes take 200 / STEP rounds.
 * A gram with very many distinct runs is cut into pieces of PIECE window starts, gathered by the
-  bytes that all windows of a piece share; equal windows still meet.
+  bytes that all windows of a piece share; equal windows still meet.  Equal pieces are one string.
 
 Nulls and odd input: null and empty texts have no bytes; texts of under 200 bytes have no window;
 ties of the gram go to the leftmost; periodic texts repeat themselves and are found within one
@@ -179,7 +179,7 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     return turn, lcp
 
 
-def repeated_windows(raws: list[bytes], *, times: list[int] | None = None, window: int = WINDOW, step: int = STEP, shards: int = 4) -> list[np.ndarray]:
+def repeated_windows(raws: list[bytes], *, times: list[int] | None = None, window: int = WINDOW, step: int = STEP, shards: int = 3) -> list[np.ndarray]:
     """For each string, which of its windows occur at two places of the strings at least.
 
     ``times`` has how often each string stands in the corpus, once by default.
@@ -244,7 +244,7 @@ def _repeat_batches(most: int):
     return run
 
 
-CUT = "g long, h long, c long, times long, at int, body binary"
+CUT = "g long, h long, c long, times long, at int, body binary, d long"
 
 
 def _cut_batches(batches):
@@ -255,7 +255,7 @@ def _cut_batches(batches):
             for cut in cuts:
                 h, c, t, s, n, o = (cut[k] for k in ("h", "c", "times", "s", "n", "o"))
                 if not cut["many"]:
-                    rows.append((h, h, c, t, 0, raw[s : s + n + WINDOW - 1]))
+                    rows.append((h, h, c, t, 0, raw[s : s + n + WINDOW - 1], None))
                     continue
                 # pieces of window starts with the same place relative to the gram, so that equal windows share a piece
                 lead = (WINDOW - GRAM - o) % PIECE
@@ -265,11 +265,12 @@ def _cut_batches(batches):
                     whole = low - (lead + low) % PIECE  # where the full piece would start
                     core = raw[s + whole + PIECE - 1 : s + whole + WINDOW]
                     key = int.from_bytes(hashlib.blake2b(core + h.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, h, c, t, low, raw[s + low : s + high + WINDOW - 1]))
+                    body = raw[s + low : s + high + WINDOW - 1]
+                    rows.append((key, h, c, t, low, body, int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)))
                     low = high
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 20_000]], k) for i, k in enumerate(kinds)], ["g", "h", "c", "times", "at", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 20_000]], k) for i, k in enumerate(kinds)], ["g", "h", "c", "times", "at", "body", "d"])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start long, end long>>"
@@ -299,7 +300,12 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 60_000) -> DataFrame:
+def _merged(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """FOUND rows of strings (g, h, c, times, at, body), gathered by g."""
+    return rows.repartition(workers(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_repeat_batches(chunk_bytes), FOUND)
+
+
+def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 30_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans.
 
     Rows are told apart by 96 bits of hashes of id and text; rows that are equal in both get
@@ -319,7 +325,18 @@ def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 60_000) -> DataFrame:
     mine = (F.col("uid") == F.col("u_")) & (F.col("v") == F.col("v_"))
     bodies = base.join(cuts, mine).dropDuplicates(["uid", "v"]).select("text", "cuts").mapInArrow(_cut_batches, CUT)
     bodies = stored(bodies, "repeat-bodies", free=True)
-    found = bodies.repartition(workers(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_repeat_batches(chunk_bytes), FOUND)
+    found = _merged(bodies.where("d is null").select("g", "h", "c", "times", "at", "body"), chunk_bytes)
+    if crowded.limit(1).count():
+        # equal pieces of different runs are one string, and what is found in it holds for each
+        pieces = bodies.where("d is not null")
+        one = pieces.groupBy("g", "d").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min("body").alias("body"))
+        one = stored(one, "repeat-pieces")
+        inside = _merged(one.select("g", F.col("g").alias("h"), F.col("d").alias("c"), "times", F.lit(0).alias("at"), "body"), chunk_bytes)
+        inside = stored(inside.groupBy("h", "c").agg(F.collect_list(F.struct("low", "high")).alias("parts")), "repeat-inside")
+        inside = inside.select(F.col("h").alias("g"), F.col("c").alias("d"), "parts").join(one.select("g", "d", "n"), ["g", "d"])
+        each = lookup(pieces.drop("body"), ["g", "d"], stored(inside, "repeat-parts"), ["parts"], "inner", n="n")
+        each = each.select("h", "c", "times", "at", F.explode("parts").alias("p")).select("h", "c", "times", (F.col("at") + F.col("p.low")).alias("low"), (F.col("at") + F.col("p.high")).alias("high"))
+        found = found.unionByName(each)
     found = found.groupBy("h", "c").agg(F.max("times").alias("times"), F.collect_list(F.struct("low", "high")).alias("parts"))
     found = stored(found, "repeat-found", free=True)
     del bodies
