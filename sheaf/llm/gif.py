@@ -5,8 +5,8 @@ code streams.  ``decode`` reads any GIF of that format: global and local palette
 transparency, delays and all disposal methods.
 
 Nulls and odd input: a null text counts as empty; an empty text is one row of zeros.  Very long
-texts become more frames; a frame, never a document, is the unit that is coded.  Equal texts give
-equal files.  Bytes that are not a GIF decode to no frames.  Extra columns are ignored.
+texts become more frames, which are coded and decoded one after another; a document's payload and
+file are held whole, and rows are taken in slices of about a MiB.  Equal texts give equal files.  Bytes that are not a GIF decode to no frames.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sheaf.llm.common import stored
+from sheaf.llm.wordpos import row_groups
 
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 1024, 10
 CLEAR, END, FIRST = 256, 257, 258
@@ -256,8 +257,7 @@ def pad64(raw: bytes) -> bytes:
 
 def _encode_batches(batches):
     for batch in batches:
-        for part in range(0, batch.num_rows, 64):
-            rows = batch.slice(part, 64)
+        for rows in row_groups(batch, rows=64):
             raw = [(t or "").encode("utf-8") for t in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([encode(pad64(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -285,7 +285,7 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def _read_batches(batches):
     names = [f.split()[0] for f in READ.split(", ")][2:]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_groups(whole, "media", rows=64)):
         cols = list(zip(*[_read_one(m.as_py()) for m in batch.column("media")])) or [[]] * 6
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", *names])
 

@@ -6,8 +6,8 @@ are added up in Spark and the small system (features x features) is solved on th
 
 Nulls and odd input: a null or empty text has all statistics 0 and still gets a score; very long
 texts are processed whole; repeated rows get equal scores; null labels and labels of unknown
-documents are ignored; without labels of both kinds every score is the share of label 1 (0.5 if
-there are no labels).  Extra columns are ignored.
+documents are ignored; of labels that contradict each other the larger one holds; without labels
+of both kinds every score is the share of label 1 (0.5 if there are no labels).  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.calibrate import apply_bins, fit_bins
 from sheaf.llm.common import id_fold, stored
+from sheaf.llm.wordpos import row_groups
 
 STATS = (
     "log_bytes", "log_words", "word_len", "word_dev", "distinct", "top_word", "runs", "upper", "digit", "space", "comma_stop", "bang", "pipe", "marks",
@@ -58,7 +59,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _stat_batches(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_groups(whole)):
         rows = [statistics(t) for t in batch.column("text").to_pylist()]
         cols = np.array(rows, dtype=np.float64).reshape(len(rows), len(STATS))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(cols[:, i]) for i in range(len(STATS))]], ["doc_id", *STATS])

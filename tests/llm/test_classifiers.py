@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -107,3 +108,31 @@ def test_drop_toxic_keeps_columns(spark, odd):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     out = toxicity.drop_toxic(docs, labels)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.select(F.col("doc_id")).collect()} == set(range(60))
+
+
+def test_quality_against_plain_numpy(spark):
+    """Standardising, the cosine map, the ridge fit and the isotonic levels, without Spark."""
+    rng = random.Random(14)
+    words = "the of and shed river stone light under never always before small great house".split()
+    rows = []
+    for i in range(400):
+        good = i % 2
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(20, 60))) if good or rng.random() < 0.1 else "".join(rng.choice("#$%& !!||ab") for _ in range(rng.randrange(50, 300)))
+        rows.append((i, text, good))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seed, size = 17, 64
+    found = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels, size=size, seed=seed).collect()}
+    part = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)).alias("p")).collect()}
+    x = np.array([quality.statistics(t) for _, t, _ in rows])
+    y = np.array([float(v) for *_, v in rows])
+    learn = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows])
+    fit, cal = learn & np.array([part[i] != 0 for i, *_ in rows]), learn & np.array([part[i] == 0 for i, *_ in rows])
+    kernel = quality.Kernel(x[fit].mean(0), x[fit].std(0), size, seed)
+    z = kernel(x)
+    beta = np.linalg.solve(z[fit].T @ z[fit] + np.diag([1e-6] + [1.0] * (z.shape[1] - 1)), z[fit].T @ y[fit])
+    raw = np.clip(z @ beta, 0, 1)
+    at = np.minimum(calibrate.BINS - 1, np.floor(raw * calibrate.BINS).astype(int))
+    levels = calibrate.pool_adjacent([(float((cal & (at == b)).sum()), float(y[cal & (at == b)].sum())) for b in range(calibrate.BINS)])
+    want = np.array(levels)[at] * 0.98 + raw * 0.02
+    assert np.mean(np.abs(want - np.array([found[i] for i, *_ in rows])) < 1e-6) > 0.99  # a score on a bin's edge may fall either way
