@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import ascii_lower, stored
+from sheaf.llm.common import ascii_lower, at_most, stored
 
 FEATURES = (
     "n_url", "n_host", "n_path", "depth", "labels", "digit_ratio", "host_digits", "entropy",
@@ -77,11 +77,9 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
     }).drop("_t")
 
 
-def _rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked urls by a key, and how many urls support it."""
-    return labelled.groupBy(key).agg(
-        ((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_seen")
-    )
+def _rates(labelled: DataFrame, key: str) -> DataFrame:
+    """How many labelled urls have a key, and how many of them are blocked."""
+    return labelled.groupBy(key).agg(F.sum("label").alias(f"{key}_sum"), F.count("*").cast("double").alias(f"{key}_n"))
 
 
 def judge_urls(
@@ -91,8 +89,8 @@ def judge_urls(
     """One row per url: key, host, path, rule, verdict, score (the trees' chance of block).
 
     ``labelled`` (url, label 0/1; 1 is block) trains the trees; by default the urls that a rule
-    decides are the labelled ones.  At most about ``train_rows`` of them are fitted, picked by a
-    hash of the url; the suffix statistics count all of them.
+    decides are the labelled ones.  At most ``train_rows`` of them are fitted, picked by a
+    hash of the url; the suffix statistics count all of them, but for a fitted row its own label.
     """
     base = lexical(urls.select(F.col(key).alias("_k"), F.col(url).alias("_u")), "_u")
     rule, kind = rule_columns(F.col("host"), F.col("path"), rules)
@@ -105,17 +103,22 @@ def judge_urls(
     n, pos = counts["n"], counts["pos"] or 0.0
     prior = pos / n if n else 0.0
     if 0 < pos < n:
-        suffixes, exts = (stored(_rates(known, k, prior), f"url-{k}") for k in ("suffix", "ext"))
+        suffixes, exts = (stored(_rates(known, k), f"url-{k}") for k in ("suffix", "ext"))
 
-        def with_rates(df: DataFrame) -> DataFrame:
+        def with_rates(df: DataFrame, own: Column) -> DataFrame:
+            """Smoothed shares of blocked urls and their support; a row's own label does not count."""
             df = df.join(suffixes, "suffix", "left").join(exts, "ext", "left")
-            return df.fillna({"suffix_rate": prior, "ext_rate": prior, "suffix_seen": 0.0, "ext_seen": 0.0})
+            for k in ("suffix", "ext"):
+                n = F.coalesce(f"{k}_n", F.lit(0.0)) - F.when(own.isNotNull(), 1.0).otherwise(0.0)
+                total = F.coalesce(f"{k}_sum", F.lit(0.0)) - F.coalesce(own, F.lit(0.0))
+                df = df.withColumns({f"{k}_rate": (total + 4 * prior) / (n + 4), f"{k}_seen": F.log1p(n)})
+            return df
 
-        chosen = known.where(F.pmod(F.xxhash64("_u", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / n)) + 1)
+        chosen = at_most(known, train_rows, n, "_u", seed=seed)
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        fit_on = stored(with_rates(chosen).select("label", *FEATURES), "url-train")
+        fit_on = stored(with_rates(chosen, F.col("label")).select("label", *FEATURES), "url-train")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed).fit(vectors.transform(fit_on))
-        scored = model.transform(vectors.transform(with_rates(base)))
+        scored = model.transform(vectors.transform(with_rates(base, F.lit(None).cast("double"))))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     else:
         scored = base.withColumn("score", F.lit(prior))
@@ -123,11 +126,6 @@ def judge_urls(
     return scored.select(F.col("_k").alias(key), "host", "path", "rule", judged.alias("verdict"), F.round("score", 9).alias("score"))
 
 
-def blocked_share(judged: DataFrame) -> DataFrame:
-    """Counts of verdicts by rule, for reports."""
-    return judged.groupBy("rule", "verdict").agg(F.count("*").alias("n_urls"))
-
-
 #: The rules of the url query.
 QUERY_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
