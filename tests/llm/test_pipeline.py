@@ -1,8 +1,10 @@
 """The pipeline, stage by stage and as a whole."""
 
 import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline as cp
@@ -57,3 +59,29 @@ def test_lazy_stages_keep_their_tables(spark):
         common.sweep(spark)
     exists = lambda p: common._fs(spark, p, "exists")
     assert kept.count() == 3 and exists(path) and not exists(lost)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_stages_on_odd_and_empty_rows(spark, odd, empty):
+    """Nulls, empty and long texts, repeated rows and columns that are named like the stages' own."""
+    names = ["_gone", "_uid", "_u", "uid", "copy", "parts", "h", "top", "score", "shard", "y", "__k", "n"]
+    docs = stored(odd.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names]), "odd")
+    blank = stored(empty.select("*", *[F.lit("x").alias(n) for n in ("size", *names)]), "blank")
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    before = ids(docs)
+    for name, stage in cp.STAGES:
+        out = stored(stage(spark, docs, SF), "odd-out")
+        last = name == "sharding"
+        if not last:
+            assert out.columns == docs.columns, name
+        for r in out.collect():
+            for n in names:
+                assert r[f"doc_{n}" if last and n in ("shard",) else n] == f"{n}{'-' if r['doc_id'] is None else r['doc_id']}", (name, n)
+        left = ids(out)
+        if name in ("toxicity", "decontamination", "sharding"):
+            assert left == before, name
+        elif name == "near_duplicates":
+            assert set(left.values()) == {1} and set(before) - set(left) == {2, 3}
+        else:
+            assert not {4, 5, 9} & set(left) and all(r["text"] and r["n_chars"] == len(r["text"]) for r in out.collect())
+        assert stored(stage(spark, blank, SF), "blank-out").count() == 0
