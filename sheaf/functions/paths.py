@@ -19,7 +19,10 @@ def is_directory(path: Column) -> Column:
 
 
 def path_error(path: Column) -> Column:
-    """Why a raw archive path is refused; null where it is safe.  The first reason wins."""
+    """Why a raw archive path is refused; null where it is safe.  The first reason wins.
+
+    Fixed values: the texts of the reasons, which reports show.
+    """
     body = trim_slashes(path)
     return (
         F.when(path.isNull() | (path == ""), "empty path")

@@ -181,14 +181,6 @@ def write_tree(rows: DataFrame, root: str, seed: int = 1) -> DataFrame:
     return rows.select("i", "path", "kind", "profile", "size", changed.alias("changed")).mapInArrow(run, "path string, size long, sha256 string")
 
 
-def content(size: Column, kind: Column, seed: Column) -> Column:
-    """Bytes of a generated file: repeated text, hashed bytes, or three parts text to one hashed."""
-    block = lambda i, k: F.when(k == "text", F.encode(F.repeat(F.substring(F.sha2(F.concat_ws(":", seed, i.cast("string")), 256), 1, 8), 8), "UTF-8")).otherwise(F.unhex(F.concat(*[F.sha2(F.concat_ws(":", seed, i.cast("string"), F.lit(str(j))), 256) for j in range(2)])))
-    style = lambda i: F.when((kind == "compressible") | ((kind == "mixed") & (i % 4 < 3)), "text").otherwise("hashed")
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / 64)), lambda i: F.hex(block(i, style(i))))
-    return F.unhex(F.substring(F.array_join(parts, ""), F.lit(1), (size * 2).cast("int")))
-
-
 def mutation_count(n: Column, ratio: Column) -> Column:
     return F.least(F.ceil(n * ratio), n).cast("long")
 

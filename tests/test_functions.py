@@ -1,5 +1,8 @@
 """Golden values of the scalar functions."""
 
+# The inputs and results that are spelled out below state agreed behaviour (refused and
+# accepted paths, planned blocks, statuses, delays); they stay as they are.
+
 from pyspark.sql import functions as F
 
 from sheaf.functions import etags, paths, text, tuning

@@ -1,6 +1,11 @@
 """Selection, spans, intervals, checks, diagnostics and fixtures."""
 
+# The inputs and results that are spelled out below state agreed behaviour (refused and
+# accepted paths, planned blocks, statuses, delays); they stay as they are.
+
+import hashlib
 import random
+import zlib
 from fractions import Fraction
 
 import pytest
@@ -120,8 +125,32 @@ def test_fixtures(spark):
     df = spark.createDataFrame([(f"p{i}",) for i in range(41)], "path string")
     assert fixtures.mutate(df, 0.05, 3).where("changed").count() == 3
     assert fixtures.bench_cases(spark, ["f"], ["full", "part"], [128, 256], 3).count() == 12
-    made = spark.createDataFrame([(100, "compressible"), (300, "mixed"), (1, "incompressible")], "n long, k string")
-    assert [r[0] for r in made.select(F.octet_length(fixtures.content(F.col("n"), F.col("k"), F.lit("s")))).collect()] == [100, 300, 1]
+    assert fixtures.shares(10, [1, 1, 1]) == [4, 3, 3] and fixtures.shares(0, [1, 2]) == [0, 0] and fixtures.shares(7, [0.4, 0.4, 0.2]) == [3, 3, 1]
+
+
+@pytest.mark.parametrize("total", [0, 1, 999, 10**12 + 7])
+def test_largest_remainder(spark, total):
+    """Against whole numbers in plain Python, with ties and a last bin that is cut."""
+    weights = [(i, 1 + i * i % 7) for i in range(60)] + [(100 + i, 5_000_001) for i in range(5)]
+    found = {r["i"]: r["share"] for r in fixtures.largest_remainder(spark.createDataFrame(weights, "i long, w long"), total + 65, ["i"], least=1).collect()}
+    whole = sum(w for _, w in weights)
+    ranked = sorted(weights, key=lambda x: (-(x[1] * total % whole), -x[1], x[0]))
+    left = total - sum(w * total // whole for _, w in weights)
+    assert found == {i: 1 + w * total // whole + (k < left) for k, (i, w) in enumerate(ranked)} and sum(found.values()) == total + 65
+
+
+def test_written_tree(spark, tmp_path):
+    """Generated files, and a mutation of the same sizes: digests, kinds and what compresses."""
+    rows = fixtures.generate(spark, 40, 2_000_000, seed=4)
+    first = {r["path"]: r for r in fixtures.write_tree(rows, str(tmp_path / "t"), 4).collect()}
+    kind = {r["path"]: r["kind"] for r in rows.collect()}
+    read = {p: (tmp_path / "t" / p).read_bytes() for p in first}
+    assert all(len(read[p]) == r["size"] and hashlib.sha256(read[p]).hexdigest() == r["sha256"] for p, r in first.items())
+    ratio = lambda k: sum(len(zlib.compress(read[p])) for p in read if kind[p] == k) / sum(len(read[p]) for p in read if kind[p] == k)
+    assert ratio("compressible") < 0.5 < ratio("mixed") + 0.25 and ratio("incompressible") > 0.95
+    changed = fixtures.mutate(rows, 0.1, 1).where("changed")
+    again = {r["path"]: r for r in fixtures.write_tree(changed, str(tmp_path / "t"), 4).collect()}
+    assert len(again) == 4 and all(r["size"] == first[p]["size"] and r["sha256"] != first[p]["sha256"] for p, r in again.items())
 
 
 def test_economics(spark):
