@@ -262,16 +262,16 @@ class _Block:
 
 
 def _blocks(percent: int):
-    """Rows sorted by (g, salt, role): a block's documents first, then all members of the group."""
+    """Rows sorted by (g, salt, part, role): a block's documents first, then a part of the group."""
 
     def run(batches):
         at, block, seen = None, _Block(), _Joined()
         for batch in (part for whole in batches for part in row_groups(whole)):
             sets = shingle_sets(batch.column("text").to_pylist())
             out = []
-            for g, salt, role, comp, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "role", "comp")), sets):
-                if at != (g, salt):
-                    at, block, seen = (g, salt), _Block(), _Joined()
+            for g, salt, part, role, comp, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "part", "role", "comp")), sets):
+                if at != (g, salt, part):
+                    at, block, seen = (g, salt, part), _Block(), _Joined()
                 if role == 0:
                     block.add(comp, s)
                 elif block.sets:
@@ -284,26 +284,29 @@ def _blocks(percent: int):
     return run
 
 
-def residual_links(nodes: DataFrame, texts: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def residual_links(nodes: DataFrame, texts: DataFrame, percent: int, least: int = 128, most: int = 2048) -> DataFrame:
     """Links (u, v) between components that the stars did not test; ``nodes`` has id, comp and g.
 
     Only nodes that share a prefix shingle with a node of another component are compared.  Within a
-    group those outside its largest component are cut into blocks of ``block``; each block meets
-    every other node of the group, in one task that indexes the block and emits joining links only.
+    group those outside its largest component are cut into blocks, and all of it into parts, of
+    ``least`` to ``most`` nodes (a 64th of the group between); each block meets each part, in a
+    task that indexes the block and emits joining links only.
     """
     able = _open(stored(prefixes(nodes.select("id", "comp"), texts, percent), "near-ranked"))
-    least = able.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("size"))
-    able = lookup(able, "h", stored(least, "near-least"), ["least"], "inner", n="size").where((100 + percent) * F.col("m") >= percent * (F.col("n") + F.col("least")))
+    small = able.groupBy("h").agg(F.min("n").alias("small"), F.count("*").alias("size"))
+    able = lookup(able, "h", stored(small, "near-small"), ["small"], "inner", n="size").where((100 + percent) * F.col("m") >= percent * (F.col("n") + F.col("small")))
     able = stored(able.select("id").distinct().withColumn("able", F.lit(True)), "near-able", free=True)
     nodes = stored(lookup(nodes, "id", able, ["able"], "inner").select("id", "comp", "g"), "near-nodes")
     sizes = nodes.groupBy("g", "comp").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    groups = groups.withColumn("salts", F.ceil((F.col("all") - F.col("most")) / block).cast("int"))
-    inside = stored(lookup(nodes, "g", stored(groups, "near-groups"), ["major", "salts"], "inner", n="all"), "near-inside")
-    mine = inside.where("comp <> major").select("g", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "id", "comp")
-    every = inside.select("g", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(1).alias("role"), "id", "comp")
-    rows = mine.unionByName(every).join(texts.withColumnRenamed("doc_id", "id"), "id").select("g", "salt", "role", "id", "comp", "text")
-    return _dealt(rows, ["g", "salt"]).mapInArrow(_blocks(percent), "u long, v long").distinct()
+    side = F.least(F.lit(most), F.greatest(F.lit(least), F.expr("all div 64")))
+    groups = groups.withColumns({"salts": F.ceil((F.col("all") - F.col("most")) / side).cast("int"), "parts": F.ceil(F.col("all") / side).cast("int")})
+    inside = stored(lookup(nodes, "g", stored(groups, "near-groups"), ["major", "salts", "parts"], "inner", n="all"), "near-inside")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    mine = inside.where("comp <> major").select("g", dealt("salts", 1).alias("salt"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("role"), "id", "comp")
+    every = inside.select("g", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), dealt("parts", 2).alias("part"), F.lit(1).alias("role"), "id", "comp")
+    rows = mine.unionByName(every).join(texts.withColumnRenamed("doc_id", "id"), "id").select("g", "salt", "part", "role", "id", "comp", "text")
+    return _dealt(rows, ["g", "salt", "part"]).mapInArrow(_blocks(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:

@@ -107,7 +107,7 @@ def test_residual_links_alone(spark):
         texts += [" ".join(edited(rng, base, rng.randrange(0, 4))) for _ in range(rng.randrange(1, 40))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), F.lit(7).cast("long").alias("g"))
-    found = {r["id"]: r["component"] for r in components(neardup.residual_links(nodes, df, 85, block=16)).collect()}
+    found = {r["id"]: r["component"] for r in components(neardup.residual_links(nodes, df, 85, least=16, most=40)).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == brute(texts)[0]
 
 
