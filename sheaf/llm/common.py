@@ -148,8 +148,7 @@ def lookup(rows: DataFrame, key: str | list[str], found: DataFrame, values: list
 
     known = rows.where(whole)
     if (total["m"] or 0) > least:
-        hot = counts.where(F.col("__n") > least).select(*marks)
-        hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+        hot = F.broadcast(counts.where(F.col("__n") > least).select(*marks))
         warm = right.join(hot, marks, "left_semi")
         out = with_values(join(known, hot, "left_anti"), right).unionByName(with_values(join(known, hot, "left_semi"), F.broadcast(warm)))
     else:

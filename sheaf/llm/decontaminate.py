@@ -21,6 +21,7 @@ type.  Very long texts are indexed whole.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm.common import stored
-from sheaf.llm.wordpos import SIGNS, groups_of, joined, row_groups, word_hashes, words
+from sheaf.llm.wordpos import SIGNS, groups_of, joined, lean, row_groups, word_hashes, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -120,7 +121,7 @@ def _marks(batches):
 def term_bitmap(benchmark: DataFrame) -> np.ndarray:
     """A bit for each possible value of the first BITS bits of a term's hash."""
     out = np.zeros(1 << BITS - 6, np.uint64)
-    rows = benchmark.where("item_id is not null").select("text").mapInArrow(_marks, "at long, bits long")
+    rows = benchmark.where("item_id is not null").select("text").mapInArrow(lean(_marks), "at long, bits long")
     for r in rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         out[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
     return out
@@ -159,7 +160,7 @@ def _schema(docs: DataFrame, rest: str) -> T.StructType:
 def build_index(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Store the postings of every document: its terms' hashes, how often each stands, and where."""
     schema = _schema(docs, "uid long, n_words long, terms binary, counts binary, positions binary")
-    return stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(_index(bitmap), schema), "postings", free=True)
+    return stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(lean(_index(bitmap)), schema), "postings", free=True)
 
 
 def _ranks(h: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -188,7 +189,7 @@ def _frequencies(terms: np.ndarray):
 def term_frequencies(index: DataFrame, queries: Queries) -> np.ndarray:
     """How often each term of a block stands in the whole corpus."""
     out = np.zeros(len(queries.terms), np.int64)
-    counts = index.select("terms", "counts", "positions").mapInArrow(_frequencies(queries.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.select("terms", "counts", "positions").mapInArrow(lean(_frequencies(queries.terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for r in counts.toLocalIterator():
         out[r["term"]] = r["n"]
     return out
@@ -211,7 +212,7 @@ def _postings(batch, known: np.ndarray):
     return key, edges, offset, span
 
 
-def _chunks(batch, most: int = 2_000_000):
+def _chunks(batch, most: int = 500_000):
     """Slices of an index batch with about ``most`` postings, or one document."""
     sizes = [len(p) // 4 for p in batch.column("positions").to_pylist()]
     at = n = 0
@@ -298,15 +299,29 @@ def _match(queries: Queries, plan, within: int | None):
     return run
 
 
-def phrase_hits(index: DataFrame, queries: Queries, frequency: np.ndarray, within: int | None = None) -> DataFrame:
+def _whole(queries: Queries, plan, within: int | None):
+    """Matches of the only block, summed up at once."""
+
+    def run(batches):
+        def lists():
+            for b in _match(queries, plan, within)(batches):
+                cols = [pa.array([[x] for x in b.column(c).to_pylist()], pa.list_(b.schema.field(c).type)) for c in ("spans", "items", "near")]
+                yield pa.RecordBatch.from_arrays([*map(b.column, ("doc_id", "uid", "n_words")), *cols], b.schema.names)
+
+        yield from _summary(lists())
+
+    return run
+
+
+def phrase_hits(index: DataFrame, queries: Queries, plan, within: int | None = None) -> DataFrame:
     """Per document: word spans of exact window occurrences (pairs of int64) and the items hit; and,
     with ``within``, the items near: all terms of a window stand so near its rarest."""
-    return index.mapInArrow(_match(queries, queries.plan(frequency), within), _schema(index, HITS))
+    return index.mapInArrow(lean(_match(queries, plan, within)), _schema(index, HITS))
 
 
 def proximity_hits(index: DataFrame, queries: Queries, frequency: np.ndarray, within: int = WITHIN) -> DataFrame:
     """(doc_id, item_id as text) where all terms of a window stand within ``within`` words of its rarest."""
-    return phrase_hits(index, queries, frequency, within).select("doc_id", F.explode("near").alias("item_id")).distinct()
+    return phrase_hits(index, queries, queries.plan(frequency), within).select("doc_id", F.explode("near").alias("item_id")).distinct()
 
 
 def _summary(batches):
@@ -338,20 +353,23 @@ def _judged(docs: DataFrame, benchmark: DataFrame, block_words: int, within: int
     With one block of benchmark items nothing is shuffled but term counts.  With more, each block
     reads the index again, and the hits of a document are brought together by its id.
     """
-    index, hits = build_index(docs, term_bitmap(benchmark)), []
-    for items in _or_empty(blocks(benchmark, block_words)):
+    index, hits, every = build_index(docs, term_bitmap(benchmark)), [], blocks(benchmark, block_words)
+    first, second = next(every, []), next(every, None)
+    queries = Queries(first)
+    plan = queries.plan(term_frequencies(index, queries))
+    if second is None:  # judged where it is found
+        return index.mapInArrow(lean(_whole(queries, plan, within)), _schema(docs, SUMMARY))
+    hits.append(phrase_hits(index, queries, plan, within))
+    for items in itertools.chain([second], every):
         queries = Queries(items)
-        hits.append(phrase_hits(index, queries, term_frequencies(index, queries), within))
-    if len(hits) == 1:
-        whole = hits[0].select("doc_id", "uid", "n_words", *[F.array(c).alias(c) for c in ("spans", "items", "near")])
-    else:
-        every = hits[0]
-        for h in hits[1:]:
-            every = every.unionByName(h)
-        whole = every.groupBy("doc_id", "uid").agg(F.max("n_words").alias("n_words"), *[F.collect_list(c).alias(c) for c in ("spans", "items", "near")], F.count("*").alias("rows"))
-        # each block has a row for every document, so repeated documents come back as often as they are
-        whole = whole.withColumn("copy", F.explode(F.expr(f"sequence(1, rows div {len(hits)})"))).select("doc_id", "uid", "n_words", "spans", "items", "near")
-    return whole.mapInArrow(_summary, _schema(docs, SUMMARY))
+        hits.append(phrase_hits(index, queries, queries.plan(term_frequencies(index, queries)), within))
+    found = hits[0]
+    for h in hits[1:]:
+        found = found.unionByName(h)
+    whole = found.groupBy("doc_id", "uid").agg(F.max("n_words").alias("n_words"), *[F.collect_list(c).alias(c) for c in ("spans", "items", "near")], F.count("*").alias("rows"))
+    # each block has a row for every document, so repeated documents come back as often as they are
+    whole = whole.withColumn("copy", F.explode(F.expr(f"sequence(1, rows div {len(hits)})"))).select("doc_id", "uid", "n_words", "spans", "items", "near")
+    return whole.mapInArrow(lean(_summary), _schema(docs, SUMMARY))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = BLOCK_WORDS, within: int | None = WITHIN) -> DataFrame:
@@ -360,15 +378,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = B
     return _judged(docs, benchmark, block_words, within).drop("uid")
 
 
-def _or_empty(found):
-    some = False
-    for items in found:
-        some = True
-        yield items
-    if not some:
-        yield []
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that do not hold benchmark passages in a twentieth of their words.
 

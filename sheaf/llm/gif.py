@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sheaf.llm.common import stored
-from sheaf.llm.wordpos import row_groups
+from sheaf.llm.wordpos import lean, row_groups
 
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 1024, 10
 CLEAR, END, FIRST = 256, 257, 258
@@ -264,7 +264,7 @@ def _encode_batches(batches):
 
 def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as a GIF, written to the shared folder."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_encode_batches, "doc_id long, n_bytes long, media binary"), "gif-media")
+    return stored(docs.select("doc_id", "text").mapInArrow(lean(_encode_batches), "doc_id long, n_bytes long, media binary"), "gif-media")
 
 
 def _read_one(media: bytes) -> tuple:
@@ -292,7 +292,7 @@ def _read_batches(batches):
 
 def read_media(media: DataFrame) -> DataFrame:
     """Decode stored GIFs: payload digests, and the colour histogram of what they show."""
-    return media.mapInArrow(_read_batches, READ)
+    return media.mapInArrow(lean(_read_batches), READ)
 
 
 FRAMES = "doc_id long, frame int, start_ms long, delay_ms int, disposal int, height int, samples binary, histogram array<long>"
@@ -310,4 +310,4 @@ def _frame_batches(batches):
 
 def frames(media: DataFrame) -> DataFrame:
     """One row per timed frame of (doc_id, media), with its samples and colour histogram."""
-    return media.select("doc_id", "media").mapInArrow(_frame_batches, FRAMES)
+    return media.select("doc_id", "media").mapInArrow(lean(_frame_batches), FRAMES)

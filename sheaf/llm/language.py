@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.llm.common import id_fold
-from sheaf.llm.wordpos import row_groups
+from sheaf.llm.wordpos import lean, row_groups
 
 SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 LEVEL, MIN_MATCH = 9, 3
@@ -94,7 +94,7 @@ def _predict(dictionaries: dict[str, bytes], narrow: float, least: int):
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, narrow: float = 0.01, least: int = 2) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, margin and rejected."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(dictionaries, narrow, least), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(_predict(dictionaries, narrow, least)), SCHEMA)
 
 
 def identify_languages(docs: DataFrame, *, folds: int = 5) -> DataFrame:

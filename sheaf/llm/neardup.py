@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import lookup, stored, workers
 from sheaf.llm.components import components
-from sheaf.llm.wordpos import SPACES, groups_of, joined, mix, row_groups, word_hashes, words
+from sheaf.llm.wordpos import SPACES, groups_of, joined, lean, mix, row_groups, word_hashes, words
 
 WIDTH = 5
 ROWS, MISSED = 8, 1e-5
@@ -180,7 +180,7 @@ def confirm_stars(edges: DataFrame, texts: DataFrame, percent: int, members: int
     hub = hub.select("u", "low", F.least(F.lit(share), F.col("salts") - F.col("low")).cast("int").alias("more"), F.lit(0).alias("role"), F.col("u").alias("id"))
     rows = leaf.unionByName(hub).join(texts.withColumnRenamed("doc_id", "id"), "id")
     rows = rows.select("u", "role", "id", "text", F.explode(F.expr("sequence(low, low + greatest(more, 1) - 1)")).alias("salt"))
-    return _dealt(rows, ["u", "salt"]).mapInArrow(_stars(percent), "u long, v long")
+    return _dealt(rows, ["u", "salt"]).mapInArrow(lean(_stars(percent)), "u long, v long")
 
 
 def _spread(batches):
@@ -200,7 +200,7 @@ def prefixes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     the first n - ceil(n * percent / 100) + 1, and one that no other node has is no use; ``m``
     shingles stand in other nodes, too.
     """
-    spread = nodes.join(texts.withColumnRenamed("doc_id", "id"), "id").mapInArrow(_spread, "id long, comp long, n long, h long")
+    spread = nodes.join(texts.withColumnRenamed("doc_id", "id"), "id").mapInArrow(lean(_spread), "id long, comp long, n long, h long")
     spread = stored(spread, "near-spread")
     seen = stored(spread.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-seen")
     ranked = lookup(spread, "h", seen, ["df"], "inner", n="df").groupBy("id").agg(
@@ -306,7 +306,7 @@ def residual_links(nodes: DataFrame, texts: DataFrame, percent: int, least: int
     mine = inside.where("comp <> major").select("g", dealt("salts", 1).alias("salt"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("role"), "id", "comp")
     every = inside.select("g", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), dealt("parts", 2).alias("part"), F.lit(1).alias("role"), "id", "comp")
     rows = mine.unionByName(every).join(texts.withColumnRenamed("doc_id", "id"), "id").select("g", "salt", "part", "role", "id", "comp", "text")
-    return _dealt(rows, ["g", "salt", "part"]).mapInArrow(_blocks(percent), "u long, v long").distinct()
+    return _dealt(rows, ["g", "salt", "part"]).mapInArrow(lean(_blocks(percent)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
     """
-    signed = docs.select("doc_id", "text").mapInArrow(_sign(percent), SIGNED)
+    signed = docs.select("doc_id", "text").mapInArrow(lean(_sign(percent)), SIGNED)
     signed = stored(signed.withColumn("set_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id"))), "near-signed")
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     known = lookup(signed, "set_id", stored(classes, "near-sets"), ["rep"], n="n")

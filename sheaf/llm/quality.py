@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.calibrate import apply_bins, fit_bins
 from sheaf.llm.common import id_fold, stored
-from sheaf.llm.wordpos import row_groups
+from sheaf.llm.wordpos import lean, row_groups
 
 STATS = (
     "log_bytes", "log_words", "word_len", "word_dev", "distinct", "top_word", "runs", "upper", "digit", "space", "comma_stop", "bang", "pipe", "marks",
@@ -110,7 +110,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, size: int = 128, ridg
     All labelled documents whose fold is not 1 are used: four fifths for the ridge fit, the rest
     for calibration.
     """
-    stats = stored(docs.select("doc_id", "text").mapInArrow(_stat_batches, SCHEMA), "quality-stats")
+    stats = stored(docs.select("doc_id", "text").mapInArrow(lean(_stat_batches), SCHEMA), "quality-stats")
     known = labels.where(F.col("quality").isin(0, 1) & (id_fold(3) != 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     train = stored(stats.join(known, "doc_id"), "quality-train")
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5))
@@ -122,11 +122,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, size: int = 128, ridg
     kernel = Kernel(np.array([sums[f"m_{s}"] for s in STATS]), np.array([sums[f"d_{s}"] for s in STATS]), size, seed)
     k = 1 + len(STATS) + size
     flat = np.zeros((k + 1) * k)
-    for r in fit_on.mapInArrow(_equations(kernel), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in fit_on.mapInArrow(lean(_equations(kernel)), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toLocalIterator():
         flat[r["at"]] = r["v"]
     gram, rhs = flat[: k * k].reshape(k, k), flat[k * k :]
     beta = np.linalg.solve(gram + ridge * np.diag([1e-6] + [1.0] * (k - 1)), rhs)
-    raw = lambda df: df.mapInArrow(_scores(kernel, beta), "doc_id long, raw double")
+    raw = lambda df: df.mapInArrow(lean(_scores(kernel, beta)), "doc_id long, raw double")
     levels = fit_bins(raw(train.where(part == 0)).join(known, "doc_id"), "raw", "y")
     return _result(raw(stats).withColumn("score", apply_bins(F.col("raw"), levels)))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import lookup, stored, workers
-from sheaf.llm.wordpos import SPAN, prefix_sums, range_hash, row_groups
+from sheaf.llm.wordpos import SPAN, lean, prefix_sums, range_hash, row_groups
 
 WINDOW, GRAM, STEP = 200, 40, 25
 PIECE, MANY = 16, 2_000
@@ -302,7 +302,7 @@ def _remove(batches):
 
 def _merged(rows: DataFrame, chunk_bytes: int) -> DataFrame:
     """FOUND rows of strings (g, h, c, times, at, body), gathered by g."""
-    return rows.repartition(workers(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_repeat_batches(chunk_bytes), FOUND)
+    return rows.repartition(workers(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(lean(_repeat_batches(chunk_bytes)), FOUND)
 
 
 def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 30_000) -> DataFrame:
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 30_000) -> DataFrame:
     equal spans, as they should.
     """
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), F.hash("doc_id", "text").alias("v"))
-    every = stored(base.select("uid", "v", "text").mapInArrow(_run_batches, RUNS), "repeat-runs")
+    every = stored(base.select("uid", "v", "text").mapInArrow(lean(_run_batches), RUNS), "repeat-runs")
     grams = stored(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1"), "repeat-grams")
     shared = stored(lookup(every, "h", grams, ["seen"], "inner", n="seen").drop("seen"), "repeat-shared")
     del every, grams
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 30_000) -> DataFrame:
     cuts = cuts.select("r.uid", "r.v", F.struct("h", "c", "times", "r.s", "r.n", "r.o", F.col("variants").isNotNull().alias("many")).alias("cut"))
     cuts = cuts.groupBy(F.col("uid").alias("u_"), F.col("v").alias("v_")).agg(F.collect_list("cut").alias("cuts"))
     mine = (F.col("uid") == F.col("u_")) & (F.col("v") == F.col("v_"))
-    bodies = base.join(cuts, mine).dropDuplicates(["uid", "v"]).select("text", "cuts").mapInArrow(_cut_batches, CUT)
+    bodies = base.join(cuts, mine).dropDuplicates(["uid", "v"]).select("text", "cuts").mapInArrow(lean(_cut_batches), CUT)
     bodies = stored(bodies, "repeat-bodies", free=True)
     found = _merged(bodies.where("d is null").select("g", "h", "c", "times", "at", "body"), chunk_bytes)
     if crowded.limit(1).count():
@@ -344,4 +344,4 @@ def remove_repeats(docs: DataFrame, *, chunk_bytes: int = 30_000) -> DataFrame:
     moved = F.transform("parts", lambda p: F.struct((F.col("s") + p["low"]).cast("long").alias("a"), (F.col("s") + p["high"] + WINDOW - 1).cast("long").alias("b")))
     spans = places.groupBy(F.col("uid").alias("u_"), F.col("v").alias("v_")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
     spans = stored(spans, "repeat-spans", free=True)
-    return base.join(spans, mine, "left").select("doc_id", "text", "spans").mapInArrow(_remove, OUT)
+    return base.join(spans, mine, "left").select("doc_id", "text", "spans").mapInArrow(lean(_remove), OUT)

@@ -42,10 +42,10 @@ def doc_size(text: Column) -> Column:
 
 def _axis(points: DataFrame, column: str) -> DataFrame:
     """(value, step) for the values of most weight, at most RANKED, spread evenly in their order."""
-    top = [r[column] for r in points.groupBy(column).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), column).limit(RANKED).collect()]
-    top = sorted(top, key=lambda v: (v is not None, v))
-    rows = [(v, i * (STEPS - 1) // max(1, len(top) - 1)) for i, v in enumerate(top)]
-    return points.sparkSession.createDataFrame(rows, f"value {points.schema[column].dataType.simpleString()}, step int")
+    top = points.groupBy(F.col(column).alias("value")).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "value").limit(RANKED)
+    top = stored(top, "kd-axis")
+    rank = F.row_number().over(Window.orderBy(F.col("value").asc_nulls_first())) - 1
+    return stored(top.select("value", F.expr(f"{STEPS - 1} / {max(1, top.count() - 1)}").alias("s"), rank.alias("r")).select("value", F.floor(F.col("r") * F.col("s")).cast("int").alias("step")), "kd-axis")
 
 
 class Space:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from sheaf.llm.calibrate import apply_bins, fit_bins
 from sheaf.llm.common import at_most, id_fold, stored
-from sheaf.llm.wordpos import SPAN, prefix_sums, range_hash, row_groups
+from sheaf.llm.wordpos import SPAN, lean, prefix_sums, range_hash, row_groups
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -66,7 +66,7 @@ def learn_lexicon(train: DataFrame, *, least: int = 4, weight: float = 4.0, entr
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos:
         return {}
-    counts = train.select("text", "y").mapInArrow(_count_batches, "key string, tox long, clean long").groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
+    counts = train.select("text", "y").mapInArrow(lean(_count_batches), "key string, tox long, clean long").groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("tox") + 0.5) / (pos - F.col("tox") + 0.5)) - F.log((F.col("clean") + 0.5) / (neg - F.col("clean") + 0.5))
     best = counts.where(F.col("tox") >= max(least, math.ceil(pos * 0.004))).withColumn("w", odds).where(F.col("w") >= weight)
     return {r["key"]: r["w"] for r in best.orderBy(F.desc("w"), "key").limit(entries).collect()}
@@ -258,7 +258,7 @@ def _featurise(weights: dict[str, float]):
 def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """All columns of ``docs`` and the dense features of its text."""
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in COLUMNS]])
-    return docs.mapInArrow(_featurise(lexicon), schema)
+    return docs.mapInArrow(lean(_featurise(lexicon)), schema)
 
 
 def labelled_text(docs: DataFrame, labels: DataFrame, label: str, use, rows: int, seed: int = 3) -> DataFrame:

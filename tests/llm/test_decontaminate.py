@@ -70,7 +70,7 @@ def test_proximity(spark):
     index = d.build_index(docs, d.term_bitmap(bench))
     freq = d.term_frequencies(index, q)
     assert [tuple(r) for r in d.proximity_hits(index, q, freq, 5).collect()] == [(1, "7")]
-    assert all(not r["items"] for r in d.phrase_hits(index, q, freq).collect())
+    assert all(not r["items"] for r in d.phrase_hits(index, q, q.plan(freq)).collect())
 
 
 def test_ids_of_any_type_and_long_items(spark):
