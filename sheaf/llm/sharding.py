@@ -33,7 +33,7 @@ HASH_BITS = 60
 DIMS = ("d_source", "d_lang", "d_size")
 #: Values of an axis that have a rank of their own (those of most bytes); others are placed by hash.
 RANKED = 1_000
-CHUNK_ROWS = 50_000
+CHUNK_ROWS, CHUNK_BYTES = 50_000, 16 << 20
 
 
 def doc_size(text: Column) -> Column:
@@ -175,7 +175,7 @@ def shard(docs: DataFrame, *, leaves: int | None = 16, target_bytes: int | None
     ``leaves``, or ``target_bytes`` and let the tree grow until a leaf reaches it.
 
     Rows are numbered within (shard, chunk), where the chunk is a hash of the row, and shifted by
-    the rows of the shard's chunks before; there are as many chunks as the rows need.
+    the rows of the shard's chunks before; there are as many chunks as the rows and their bytes need.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     every = docs.select(
@@ -190,8 +190,8 @@ def shard(docs: DataFrame, *, leaves: int | None = 16, target_bytes: int | None
     points = stored(points.select("h", "w", "size", "n", "low.source", "low.lang", (~F.col("low").eqNullSafe(F.col("high"))).alias("spread")), "shard-points")
     space = kd_tree(points, leaves)
     moved = stored(points.where("spread").select("h", "n", F.struct("source", "lang").alias("at")), "shard-moved")
-    total = sized.count()
-    chunks = max(1, -(-total // (leaves * CHUNK_ROWS)))
+    total = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    chunks = max(1, -(-total["n"] // (leaves * CHUNK_ROWS)), -(-total["b"] // (leaves * CHUNK_BYTES)))
 
     def placed(rows: DataFrame) -> DataFrame:
         """Rows with shard and chunk; copies whose metadata differ take those of their group."""
