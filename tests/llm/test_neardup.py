@@ -145,6 +145,35 @@ def test_components(spark):
     assert found == {x: root(x) for e in edges for x in e if e[0] != e[1]}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 10])
+def test_components_by_one_task_and_by_rounds(spark, most):
+    """Both ways against plain Python: chains with shuffled ids, stars, loops, repeated and reversed edges."""
+    rng, ids = random.Random(9), random.Random(10).sample(range(-(10**12), 10**12), 400)
+    edges = [(ids[i], ids[i + 1]) for i in range(60)] + [(ids[70], ids[70 + i]) for i in range(1, 50)] + [(max(ids), ids[130 + i]) for i in range(40)]
+    edges += [(ids[rng.randrange(200, 400)], ids[rng.randrange(200, 400)]) for _ in range(110)] + [(ids[5], ids[5]), (ids[199], ids[199])]
+    edges += edges[:20] + [(v, u) for u, v in edges[60:90]]
+    comp = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(comp[u] != comp[v] for u, v in edges if u != v):
+        for u, v in edges:
+            if u != v:
+                comp[u] = comp[v] = min(comp[u], comp[v])
+    rows = components(spark.createDataFrame(edges, "u long, v long"), most=most).collect()
+    assert len(rows) == len(comp) and {r["id"]: r["component"] for r in rows} == comp
+    assert components(spark.createDataFrame([], "u long, v long"), most=most).collect() == []
+
+
+def test_few_edges_cost_the_driver_few_jobs(spark):
+    """A chain of 300 edges took dozens of jobs, each with tasks by the number of partitions."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    try:
+        assert {r["component"] for r in components(chain).collect()} == {0}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 6
+
+
 def test_odd(spark, odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
