@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions.tuning import BLOCK_SIZE, MERGE_GAP, PART_SIZE
+from sheaf.operators.ranges import PART, earlier, ranged, with_carry, within
 
 
 def span_ends(records: DataFrame, archive: str = "archive", offset: str = "header_offset", limit: str = "cd_start") -> DataFrame:
@@ -15,8 +16,10 @@ def span_ends(records: DataFrame, archive: str = "archive", offset: str = "heade
 
     Give it all records, before any selection: entries that are not selected still end spans.
     """
-    later = Window.partitionBy(archive).orderBy(offset).rangeBetween(1, Window.unboundedFollowing)
-    return records.withColumn("span_end", F.least(F.coalesce(F.min(offset).over(later), F.col(limit)), F.col(limit)))
+    parts = with_carry(ranged(records, [archive], [offset]), [archive], F.min(offset), lambda c: F.lead(c).over(Window.partitionBy(archive).orderBy(PART)), "_next")
+    # from the last on, since a frame that only grows is one pass
+    later = within([archive], F.col(offset).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("span_end", F.least(F.coalesce(F.min(offset).over(later), "_next", limit), F.col(limit))).drop("_next", PART)
 
 
 def span_error(start: str, end: str, length: str, limit: str):
@@ -63,16 +66,20 @@ def plan_blocks(spans: DataFrame, *, block_size: int = BLOCK_SIZE, merge_gap: in
     if length:
         spans = spans.withColumn("end", F.least("end", length))
     spans = spans.where(F.col("end") > F.col("start")).select(archive, "start", "end")
-    order = Window.partitionBy(archive).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = spans.withColumn("cut", (F.coalesce(F.col("start") > reach + merge_gap, F.lit(True))).cast("int"))
-    islands = cut.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys, order = [archive], within([archive], "start", "end")
+    parts = with_carry(ranged(spans, keys, ["start", "end"]), keys, F.max("end"), lambda c: F.max(c).over(earlier(keys)), "_reach")
+    reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    cut = parts.withColumn("cut", F.when(F.coalesce(F.col("start") > reach + merge_gap, F.lit(True)), F.col("start")))
+    # an island is named by its start
+    begun = with_carry(cut, keys, F.max("cut"), lambda c: F.max(c).over(earlier(keys)), "_island")
+    islands = begun.withColumn("island", F.coalesce(F.max("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_island"))
     sorted_ = islands.repartition(archive, "island").sortWithinPartitions(archive, "island", "start", "end")
     schema = islands.select(archive, "start", "end").schema
     merged = sorted_.select(archive, "island", "start", "end").mapInArrow(_folded(archive, block_size, merge_gap), schema)
     pieces = merged.withColumn("at", F.explode(F.expr(f"sequence(start, end - 1, {block_size}L)")))
     blocks = pieces.select(archive, F.col("at").alias("start"), (F.least(F.col("at") + block_size, F.col("end")) - 1).alias("end"))
-    return blocks.withColumn("block_id", F.row_number().over(order).cast("long")).select(archive, "block_id", "start", "end")
+    counted = with_carry(ranged(blocks, keys, ["start", "end"]), keys, F.count("*"), lambda c: F.sum(c).over(earlier(keys)), "_before")
+    return counted.withColumn("block_id", F.row_number().over(order) + F.coalesce("_before", F.lit(0).cast("long"))).select(archive, "block_id", "start", "end")
 
 
 def block_claims(blocks: DataFrame, entries: DataFrame, *, step: int = BLOCK_SIZE, archive: str = "archive") -> DataFrame:
@@ -99,8 +106,10 @@ def point_to_block(points: DataFrame, blocks: DataFrame, *, archive: str = "arch
     marks = blocks.select(archive, F.col("start").alias(at), F.struct("block_id", "end").alias("block"), F.lit(0).alias("side"))
     probes = points.withColumns({"block": F.lit(None).cast(marks.schema["block"].dataType), "side": F.lit(1)})
     both = marks.unionByName(probes, allowMissingColumns=True)
-    seen = F.last("block", ignorenulls=True).over(Window.partitionBy(archive).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("b", seen).where("side = 1")
+    last = F.max_by("block", F.when(F.col("side") == 0, F.col(at)))
+    parts = with_carry(ranged(both, [archive], [at, "side"]), [archive], last, lambda c: F.last(c, ignorenulls=True).over(earlier([archive])), "_block")
+    seen = F.last("block", ignorenulls=True).over(within([archive], at, "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = parts.withColumn("b", F.coalesce(seen, "_block")).where("side = 1")
     return found.select(*points.columns, F.when(F.col("b.end") >= F.col(at), F.col("b.block_id")).alias("block_id"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheaf import live_queries
 from sheaf.functions import etags, paths, text, tuning
-from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, selection, spans
+from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, ranges, selection, spans
 from sheaf.plans import pack, sync
 from sheaf.plans.options import SyncOptions
 
@@ -220,11 +220,14 @@ def _spans(spark, sf_dir) -> DataFrame:
     from pyspark.sql.window import Window
 
     e = entries(spark, sf_dir).where(~F.col("is_directory"))
-    order = Window.partitionBy("archive").orderBy("doc_id")
     length = F.col("size") + 30 + F.octet_length("zip_path")
-    e = e.withColumn("header_offset", F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = Window.partitionBy("archive")
-    return e.withColumn("cd_start", F.sum(length).over(total))
+    keys = ["archive"]
+    e = ranges.ranged(e.withColumn("_length", length), keys, ["doc_id"])
+    e = ranges.with_carry(e, keys, F.sum("_length"), lambda c: F.sum(c).over(ranges.earlier(keys)), "_before")
+    e = ranges.with_carry(e, keys, F.sum("_length"), lambda c: F.sum(c).over(Window.partitionBy(*keys)), "cd_start")
+    order = ranges.within(keys, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    return e.withColumn("header_offset", F.coalesce(F.sum("_length").over(order), zero) + F.coalesce("_before", zero)).drop("_length", "_before", ranges.PART)
 
 
 _SPANS = """spans AS (SELECT archive, doc_id, zip_path, size,

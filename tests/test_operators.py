@@ -12,7 +12,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, spans
+from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, ranges, spans
 from sheaf.operators.selection import Selection, selected
 
 
@@ -180,3 +180,41 @@ def test_progress_and_tables(spark):
     df.collect()
     assert seen.get["rows"] == 2 and seen.get["uploaded_new"] == 1 and seen.get["bytes"] == 3
     assert diagnostics.markdown_table(ops, ["status"]).splitlines()[2:] == ["| error |  |", "| uploaded_new | 3 |"]
+
+
+def test_spans_of_one_archive_in_ranges(spark):
+    """One archive's rows are dealt to many tasks; bounds, blocks and lookups carry over the ranges."""
+    rng = random.Random(7)
+    at, rows = 0, []
+    for i in range(600):
+        at += rng.choice((0, 40, 700))
+        rows.append((None if i % 9 == 0 else "a", at, 500_000))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "archive string, header_offset long, cd_start long")
+        assert ranges.ranged(df, ["archive"], ["header_offset"]).where("archive = 'a'").select("_part").distinct().count() > 1
+        ended = spans.span_ends(df)
+        for name in ("a", None):
+            offsets = sorted({r[1] for r in rows if r[0] == name})
+            after = dict(zip(offsets, [*offsets[1:], 500_000]))
+            found = [(r["header_offset"], r["span_end"]) for r in ended.where(F.col("archive").eqNullSafe(F.lit(name))).collect()]
+            assert sorted(found) == sorted((r[1], after[r[1]]) for r in rows if r[0] == name)
+        pieces = [(s, s + rng.randrange(1, 300)) for s in (rng.randrange(60_000) for _ in range(500))]
+        blocks = spans.plan_blocks(spark.createDataFrame([("a", *p) for p in pieces], "archive string, start long, end long"), block_size=400, merge_gap=60)
+        expected = fold(pieces, 400, 60)
+        assert [(r["start"], r["end"]) for r in blocks.orderBy("block_id").collect()] == expected
+        assert sorted(r["block_id"] for r in blocks.collect()) == list(range(1, len(expected) + 1))
+        points = spark.createDataFrame([("a", p * 97) for p in range(700)], "archive string, offset long")
+        for r in spans.point_to_block(points, blocks).collect():
+            last = max((i for i, (s, _) in enumerate(expected, 1) if s <= r["offset"]), default=0)
+            assert r["block_id"] == (last if last and r["offset"] <= expected[last - 1][1] else None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_span_ends_grow_with_the_input(spark):
+    """No frame that is gone through anew for each row."""
+    df = spark.range(10).select(F.lit("a").alias("archive"), F.col("id").alias("header_offset"), F.lit(99).cast("long").alias("cd_start"))
+    plan = spans.span_ends(df)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
