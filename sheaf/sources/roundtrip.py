@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sheaf.sources.sinks import write_zip
+from sheaf.plans.options import PackOptions
+from sheaf.sources.sinks import zip_chunks
+from sheaf.sources.zipfmt import read_directory, span_ends, verified
+
+#: Pages of about so many bytes are one archive.
+SLICE = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[list[tuple[int, bytes]]]:
+    """(page_id, bytes) of a batch, a few at a time: no more than ``most`` bytes, or a single page."""
+    held, size = [], 0
+    for i in range(batch.num_rows):
+        html = (batch.column("html")[i].as_py() or "").encode()
+        if held and size + len(html) > most:
+            yield held
+            held, size = [], 0
+        held.append((batch.column("page_id")[i].as_py(), html))
+        size += len(html)
+    if held:
+        yield held
 
 
 def pages_roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Every page packed and decoded again within one task per group of pages: page_id, bytes, md5.
 
     The groups' archives are made and read in memory of the task, so no folder needs to be shared.
+    A group is a slice of a batch, and contents are digested where they are decoded.
     """
-
-    def run(parts):
-        import os
-        import tempfile
-
-        import pandas as pd
-
-        from sheaf.sources.zipfmt import read_directory, span_ends, verified
-
-        for part in parts:
-            with tempfile.TemporaryDirectory() as folder:
-                path = os.path.join(folder, f"{uuid.uuid4().hex}.zip")
-                write_zip(((f"p/{i}.html", (h or "").encode()) for i, h in zip(part["page_id"], part["html"])), path)
-                with open(path, "rb") as f:
-                    records, start, _ = read_directory(f)
-                    ends = span_ends(records, start)
-                    rows = [(int(r.raw_path[2:-5]), verified(f, r, ends[r.header_offset])) for r in records if r.raw_path.startswith("p/")]
-            yield pd.DataFrame({"page_id": [i for i, _ in rows], "content": [c for _, c in rows]})
-
-    back = pages.select("page_id", "html").mapInPandas(run, "page_id long, content binary")
-    return back.select("page_id", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"))
+    names = ["page_id", "bytes", "md5"]
+
+    def run(batches):
+        for batch in batches:
+            for held in slices(batch, SLICE):
+                f = io.BytesIO(b"".join(zip_chunks(((f"p/{i}.html", h) for i, h in held), PackOptions(), {})))
+                records, start, _ = read_directory(f)
+                ends = span_ends(records, start)
+                read = ((int(r.raw_path[2:-5]), verified(f, r, ends[r.header_offset])) for r in records if r.raw_path.startswith("p/"))
+                rows = [(i, len(c), hashlib.md5(c).hexdigest()) for i, c in read]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names)
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, bytes long, md5 string")

@@ -8,12 +8,14 @@ import random
 import zlib
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sheaf.operators import checks, diagnostics, economics, fixtures, intervals, ranges, spans
 from sheaf.operators.selection import Selection, selected
+from sheaf.sources import roundtrip
 
 
 def chosen(spark, names, selection):
@@ -218,3 +220,13 @@ def test_span_ends_grow_with_the_input(spark):
     df = spark.range(10).select(F.lit("a").alias("archive"), F.col("id").alias("header_offset"), F.lit(99).cast("long").alias("cd_start"))
     plan = spans.span_ends(df)._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedfollowing" not in plan
+
+
+def test_page_groups_are_bounded(spark):
+    """Pages are taken in slices of bytes, none of which is lost, also a page larger than a slice."""
+    pages = [(i, None if i == 3 else "é" * (i * 13 % 50)) for i in range(40)] + [(99, "x" * 5000)]
+    batch = pa.RecordBatch.from_pylist([{"page_id": i, "html": h} for i, h in pages])
+    cut = list(roundtrip.slices(batch, 200))
+    assert [i for s in cut for i, _ in s] == [i for i, _ in pages] and all(len(s) == 1 or sum(len(h) for _, h in s) <= 200 for s in cut) and len(cut) > 10
+    found = roundtrip.pages_roundtrip(spark, spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert sorted(tuple(r) for r in found) == sorted((i, len((h or "").encode()), hashlib.md5((h or "").encode()).hexdigest()) for i, h in pages)
